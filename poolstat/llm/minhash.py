@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import components, lower_az, space_words, written
 
@@ -26,14 +25,13 @@ def _shingles(text, width: int):
     return w, F.when(F.size("w") == 0, empty).when(F.size("w") < width, whole).otherwise(F.array_sort(F.array_distinct(runs)))
 
 
-def _minhashes(n: int):
-    """n minima of (a*x + b) mod p over the set; p is the Mersenne prime 2^31-1."""
-    base = F.transform("s", lambda x: F.pmod(x, F.lit(MERSENNE)))
-    out = []
-    for i in range(n):
-        a, b = (i * 1_103_515_245 + 12_345) % (MERSENNE - 1) + 1, (i * 214_013 + 2_531_011) * 48_271 % MERSENNE
-        out.append(F.array_min(F.transform(F.col("m"), lambda x, a=a, b=b: (x * a + b) % MERSENNE)))
-    return base, out
+def _minhash(a: int, b: int):
+    """Minimum of (a*x + b) mod p over the reduced set m; p is the Mersenne prime 2^31-1."""
+    return F.array_min(F.transform("m", lambda x: (x * a + b) % MERSENNE))
+
+
+def _minhashes(n: int) -> list:
+    return [_minhash((i * 1_103_515_245 + 12_345) % (MERSENNE - 1) + 1, (i * 214_013 + 2_531_011) * 48_271 % MERSENNE) for i in range(n)]
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -61,8 +59,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     per_doc = written(sets.select("doc_id", F.size("s").cast("long").alias("n_shingles"), "print", "s"))
     classes = per_doc.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
     reps = per_doc.select(F.col("doc_id").alias("rep"), "print", "n_shingles", "s").join(classes, ["print", "rep"]).dropDuplicates(["rep"])
-    base, mins = _minhashes(2 * M * K)
-    sketch = reps.select("rep", "n_shingles", base.alias("m")).select("rep", "n_shingles", F.array(*mins).alias("h"))
+    reps = written(reps)
+    reduced = F.transform("s", lambda x: F.pmod(x, F.lit(MERSENNE)))
+    sketch = written(reps.select("rep", "n_shingles", reduced.alias("m")).select("rep", "n_shingles", F.array(*_minhashes(2 * M * K)).alias("h")))
 
     def tuples(at: int):
         return [F.xxhash64(F.lit(i), F.slice("h", at + i * K + 1, K)) for i in range(M)]

@@ -6,6 +6,7 @@ Defined results: null and empty texts score 0 and have no worst sentence; withou
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -16,16 +17,16 @@ from pyspark.sql import functions as F
 
 from .language import held_out
 
-BUCKETS, SAMPLE_DOCS, SAMPLE_WORDS, EPOCHS, THRESHOLD = 1 << 18, 4000, 4000, 12, 0.3
+BUCKETS, SAMPLE_DOCS, SAMPLE_WORDS, EPOCHS, SUPPORT, THRESHOLD = 1 << 20, 4000, 4000, 15, 4, 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 
 
 def features(word: str, memo: dict) -> list[int]:
-    """Hash buckets of a word and of its leading five characters."""
+    """Hash buckets of a word and of its leading 4 to 7 characters."""
     got = memo.get(word)
     if got is None:
-        keys = [word] + ([f"^{word[:5]}"] if len(word) > 5 else [])
+        keys = [word] + [f"^{word[:n]}" for n in range(4, 8) if len(word) >= n]
         got = [zlib.crc32(k.encode("utf-8", "replace")) % BUCKETS for k in keys]
         if len(memo) < 200_000:
             memo[word] = got
@@ -38,21 +39,34 @@ def sentences(text: str | None, memo: dict, most: int | None = None):
     for m in SENTENCE.finditer(text or ""):
         words = WORD.findall(m.group().lower())
         if words:
-            yield m.start(), m.end(), np.array(sorted({f for w in set(words) for f in features(w, memo)}))
+            yield m.start(), m.end(), np.array(list({f for w in words for f in features(w, memo)}))
             seen += len(words)
             if most and seen >= most:
                 return
 
 
 def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    """Weights and bias of sentence scores p = sigmoid(w.x + b), doc score 1 - prod(1 - p), by AdaGrad."""
+    """Weights and bias of sentence scores p = sigmoid(w.x + b), doc score 1 - prod(1 - p), by AdaGrad.
+
+    Only features with evidence for label 1 (SUPPORT toxic documents, log odds of 2 or more) carry weight;
+    a sentence without any has p = 0, so clean sentences do not add up in long documents.
+    """
     memo: dict = {}
-    bags = [([s[2] for s in sentences(t, memo, SAMPLE_WORDS)], y) for t, y in rows]
+    bags = [([s[2] for s in sentences(t, memo, SAMPLE_WORDS)], int(y)) for t, y in rows]
+    bags = [b for b in bags if b[0]]
+    seen, total = np.zeros((2, BUCKETS)), np.zeros(2)
+    for sents, y in bags:
+        seen[y, np.unique(np.concatenate(sents))] += 1
+        total[y] += 1
+    w, bias, g2, gb2 = np.zeros(BUCKETS), -2.0, np.full(BUCKETS, 1e-2), 1e-2
+    if not total.all():
+        return w.astype("float32"), bias
+    odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
+    carry = (seen[1] >= SUPPORT) & (odds >= 2)
+    w[carry] = odds[carry] * 0.3
+    bags = [([s[carry[s]] for s in sents if carry[s].any()], y) for sents, y in bags]
     bags = [b for b in bags if b[0]]
-    w, g2, bias, gb2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6), -5.0, 1e-6
     rng = np.random.default_rng(3)
-    if not any(y for _, y in bags):
-        return w.astype("float32"), -50.0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(bags)):
             sents, y = bags[k]
@@ -61,14 +75,13 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
             clean = np.exp(np.log1p(-np.minimum(p, 1 - 1e-9)).sum())
             # d loss / d z_i: p_i for a clean document; -p_i * clean / (1 - clean) for a toxic one
             grad = p if not y else -p * clean / max(1 - clean, 1e-6)
-            for i in np.flatnonzero(np.abs(grad) > 1e-4):
-                s = sents[i]
-                gi = grad[i] + 2e-4 * w[s]
+            for s, g in zip(sents, grad):
+                gi = g + 1e-3 * w[s]
                 g2[s] += gi * gi
-                w[s] -= 0.3 * gi / np.sqrt(g2[s])
-                gb2 += grad[i] ** 2
-                bias -= 0.02 * grad[i] / np.sqrt(gb2)
-    return w.astype("float32"), float(min(bias, -3.0))
+                w[s] -= 0.2 * gi / np.sqrt(g2[s])
+                gb2 += g * g
+                bias -= 0.05 * g / np.sqrt(gb2)
+    return np.where(carry, np.maximum(w, 0), 0).astype("float32"), float(min(bias, -1.0))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -82,7 +95,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, worst_start, worst_end (character span of the worst sentence), worst_score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(learn(docs, labels))  # BUCKETS floats: 1 MB at every size
+    shared = spark.sparkContext.broadcast(learn(docs, labels))  # BUCKETS floats: 4 MB at every size
 
     @F.pandas_udf("score double, worst_start int, worst_end int, worst_score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
@@ -90,10 +103,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for text in texts:
             log_clean, worst = 0.0, (0.0, None, None)
             for a, b, s in sentences(text, memo):
-                p = 1 / (1 + np.exp(-min(30.0, max(-30.0, float(w[s].sum()) + bias))))
-                log_clean += np.log1p(-min(p, 1 - 1e-9)) if p > 0.02 else 0.0  # the noise of clean sentences must not add up
+                z = float(w[s].sum())
+                if z == 0:
+                    continue
+                p = 1 / (1 + math.exp(-min(30.0, z + bias)))
+                log_clean += math.log1p(-min(p, 1 - 1e-9))
                 worst = max(worst, (p, a, b), key=lambda x: x[0])
-            out.append((float(1 - np.exp(log_clean)) if log_clean else worst[0] / 2, worst[1], worst[2], worst[0]))
+            out.append((1 - math.exp(log_clean), worst[1], worst[2], worst[0]))
         df = pd.DataFrame(out, columns=["score", "worst_start", "worst_end", "worst_score"])
         return df.astype({"worst_start": "Int32", "worst_end": "Int32"})
 
