@@ -15,7 +15,7 @@ from .common import lower_az
 
 #: The rules (host, path, verdict); the longest that fits wins.
 RULES = [
-    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 ]
 #: The method's own globs over hosts; they block where no rule fits.
