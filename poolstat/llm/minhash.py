@@ -3,7 +3,8 @@
 Two small collections of M tuples of K minhashes each; table key (i, j) joins tuple i of the
 first with tuple j of the second, so M*M tables of 2K rows cost 2*M*K minhashes.
 Defined results: null or wordless text has no shingles, n_shingles 0, and links with nothing;
-null doc_id rows are kept as classes of their own; repeated rows share one class.
+null doc_id rows are kept as classes of their own; repeated rows share one class;
+rows of one doc_id are taken to have one text.
 """
 
 from __future__ import annotations
@@ -50,35 +51,44 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept (one row per row)."""
     w, shingles = _shingles(F.col("text"), width)
-    sets = (
-        docs.select("doc_id", w.alias("w"))
-        .select("doc_id", shingles.alias("s"))
-        .withColumn("print", F.md5(F.array_join("s", ",").cast("binary")))
-    )
-    # equal sets form one class before anything else is shuffled: its smallest doc_id stands for it
-    per_doc = written(sets.select("doc_id", F.size("s").cast("long").alias("n_shingles"), "print", "s"))
-    classes = per_doc.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = per_doc.select(F.col("doc_id").alias("rep"), "print", "n_shingles", "s").join(classes, ["print", "rep"]).dropDuplicates(["rep"])
-    reps = written(reps)
+    sets = docs.select("doc_id", w.alias("w")).select("doc_id", shingles.alias("s"))
+    # sets themselves are never stored: a row keeps its size, a fingerprint of 128 bits and its minhashes
     reduced = F.transform("s", lambda x: F.pmod(x, F.lit(MERSENNE)))
-    sketch = written(reps.select("rep", "n_shingles", reduced.alias("m")).select("rep", "n_shingles", F.array(*_minhashes(2 * M * K)).alias("h")))
+    per_doc = written(
+        sets.select("doc_id", "s", reduced.alias("m")).select(
+            "doc_id", F.size("s").cast("long").alias("n_shingles"), F.struct(F.xxhash64(F.lit(1), "s").alias("x"), F.xxhash64(F.lit(2), "s").alias("y")).alias("print"),
+            F.array(*_minhashes(2 * M * K)).cast("array<int>").alias("h"),
+        )
+    )
+    # equal sets form one class before any comparison: the smallest doc_id stands for it
+    classes = per_doc.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(classes)
+    sketch = classes.select("rep", "n_shingles", "h")
 
     def tuples(at: int):
         return [F.xxhash64(F.lit(i), F.slice("h", at + i * K + 1, K)) for i in range(M)]
 
     first, second = F.array(*tuples(0)), F.array(*tuples(M * K))
     keys = F.flatten(F.transform("x", lambda a: F.transform(F.col("y"), lambda b: F.xxhash64(a, b))))
-    rows = sketch.select("rep", "n_shingles", first.alias("x"), second.alias("y")).select("rep", "n_shingles", F.explode(keys).alias("key"))
+    rows = sketch.select("rep", first.alias("x"), second.alias("y")).select("rep", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(rows.join(shared.select("key", "pivot"), "key"))
-    lengths = sketch.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"))
 
-    def fits(p: DataFrame, na: str, nb: str) -> DataFrame:
-        return p.where(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+    def fits(p: DataFrame) -> DataFrame:
+        """Pairs whose set sizes allow the similarity."""
+        size = lambda c: sketch.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"))
+        both = p.join(size("a"), "a").join(size("b"), "b")
+        return both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+
+    def confirmed(p: DataFrame) -> DataFrame:
+        """Links among candidate pairs; only documents of some pair have their full sets made again."""
+        p = written(fits(p))
+        ids = p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
+        return written(_links(p, sets.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), percent).distinct())
 
     # first pass: every member of a bucket against the bucket's smallest id
-    stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.col("n_shingles").alias("na")).distinct()
-    links = written(_links(fits(stars.join(lengths, "b"), "na", "nb").select("a", "b"), reps, percent))
+    stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = confirmed(stars)
     comp = components(links)
     # second pass, exact for the rest: in buckets that still hold several components, every member
     # outside the pivot's component against all members of other components
@@ -86,16 +96,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pivots = comp.select(F.col("id").alias("pivot"), F.col("component_id").alias("pc"))
     told = (
         members.join(owner, "rep", "left").join(pivots, "pivot", "left")
-        .select("key", "rep", "n_shingles", "pivot", F.coalesce("component_id", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
+        .select("key", "rep", "pivot", F.coalesce("component_id", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
     )
     told = written(told)
-    outside = told.where("c <> pc").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"))
-    inside = told.where("rep <> pivot").select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"))
-    rest = fits(outside.join(inside, "key").where("ca <> cb"), "na", "nb")
+    outside = told.where("c <> pc").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"))
+    inside = told.where("rep <> pivot").select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
+    rest = outside.join(inside, "key").where("ca <> cb")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = components(links.union(_links(rest, reps, percent)))
+    comp = components(links.union(confirmed(rest)))
     roots = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("root"))
-    return per_doc.drop("s").join(roots, "print", "left").select(
+    return per_doc.drop("h").join(roots, "print", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
