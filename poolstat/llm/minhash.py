@@ -2,6 +2,8 @@
 
 Two small collections of M tuples of K minhashes each; table key (i, j) joins tuple i of the
 first with tuple j of the second, so M*M tables of 2K rows cost 2*M*K minhashes.
+Every bucket is first compared with its smallest id; members outside that id's component are then held
+against the rest of the bucket by their minhashes, in blocks, and what may be a link is confirmed on full sets.
 Defined results: null or wordless text has no shingles, n_shingles 0, and links with nothing;
 null doc_id rows are kept as classes of their own; repeated rows share one class;
 rows of one doc_id are taken to have one text.
@@ -9,61 +11,169 @@ rows of one doc_id are taken to have one text.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_az, space_words, written
+from .common import components, written
+
+M, K, BLOCK, SMALL, SALTS, MEMO = 8, 3, 512, 64, 1024, 200_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_rng = np.random.default_rng(9)
+TIMES, PLUS = _rng.integers(0, 1 << 63, 2 * M * K, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 1 << 63, 2 * M * K, dtype=np.uint64)
+
+
+class Words(dict):
+    """Word -> 64-bit hash, remembered up to a bound."""
 
-M, K = 8, 3
-MERSENNE = (1 << 31) - 1
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO:
+            self[word] = h
+        return h
 
 
-def _shingles(text, width: int):
-    w = space_words(lower_az(text))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, width), " ")))
-    whole = F.array(F.xxhash64(F.array_join("w", " ")))
-    empty = F.array().cast("array<bigint>")
-    return w, F.when(F.size("w") == 0, empty).when(F.size("w") < width, whole).otherwise(F.array_sort(F.array_distinct(runs)))
+def shingles(text: str | None, width: int, memo: Words) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; bytes lower-case A-Z and split at \\t-\\r and space only."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(w) < width:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(w))] if w else [], dtype=np.uint64)
+    v, n = np.fromiter(map(memo.__getitem__, w), dtype=np.uint64, count=len(w)), len(w) - width + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        h = (h ^ v[k : k + n]) * MIX
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
 
 
-def _minhash(a: int, b: int):
-    """Minimum of (a*x + b) mod p over the reduced set m; p is the Mersenne prime 2^31-1."""
-    return F.array_min(F.transform("m", lambda x: (x * a + b) % MERSENNE))
+def minhashes(s: np.ndarray) -> np.ndarray:
+    low = np.full(len(TIMES), 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(s), 4096):
+        low = np.minimum(low, ((s[at : at + 4096, None] * TIMES + PLUS) >> np.uint64(32)).min(axis=0).astype(np.uint32))
+    return low.view(np.int32)
 
 
-def _minhashes(n: int) -> list:
-    return [_minhash((i * 1_103_515_245 + 12_345) % (MERSENNE - 1) + 1, (i * 214_013 + 2_531_011) * 48_271 % MERSENNE) for i in range(n)]
+def _sketcher(width: int):
+    @F.pandas_udf("n_shingles long, x long, y long, h array<int>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        memo, out = Words(), []
+        for text in texts:
+            s = shingles(text, width, memo)
+            x, y = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
+            out.append((len(s), x, y, minhashes(s) if len(s) else np.empty(0, dtype=np.int32)))
+        return pd.DataFrame(out, columns=["n_shingles", "x", "y", "h"])
 
+    return sketch
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity; the length ratio prunes first."""
-    left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .withColumn("both", both)
-        .where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent)
-        .select("a", "b")
-    )
+
+def groups(parts: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Runs of equal `by` of sorted batches, one at a time."""
+    rest = None
+    for part in parts:
+        if len(part):
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            v = part[by].to_numpy()
+            cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1)]
+            for s, e in zip(cuts, cuts[1:]):
+                yield part.iloc[s:e]
+            rest = part.iloc[cuts[-1] :]
+    if rest is not None:
+        yield rest
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity.
+
+    A task streams each b's text once, then the texts of its a's; a much-used b is split by salt.
+    """
+    pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt")))
+    spokes = pairs.join(texts.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", "text", F.lit(1).alias("turn"))
+    hubs = pairs.select("b", "salt").distinct().join(texts.withColumnRenamed("id", "b"), "b")
+    stream = spokes.union(hubs.select("b", "salt", F.col("b").alias("a"), "text", F.lit(0).alias("turn")))
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo, hub, own = Words(), None, None
+        for part in parts:
+            out = []
+            for a, b, turn, text in zip(part["a"], part["b"], part["turn"], part["text"]):
+                s = shingles(text, width, memo)
+                if not turn:
+                    hub, own = b, s
+                elif hub == b and min(len(s), len(own)) * 100 >= max(len(s), len(own)) * percent:
+                    both = len(np.intersect1d(s, own, assume_unique=True))
+                    if both * 100 >= (len(s) + len(own) - both) * percent:
+                        out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    placed = stream.repartition("b", "salt").sortWithinPartitions("b", "salt", "turn")
+    return written(placed.mapInPandas(compare, "a long, b long").distinct())
+
+
+def _likely(told: DataFrame, sketch: DataFrame, percent: int, large: bool, every: bool) -> DataFrame:
+    """Pairs of different components in one bucket whose minhashes allow the similarity.
+
+    Buckets up to SMALL members give all such pairs; larger ones all, or each outsider's best partner.
+    A link falls under the wanted count of equal minhashes with a probability of about one in a million.
+    """
+    stats = told.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("pc")).alias("o")).where("o > 0")
+    if large:
+        stats = stats.where(F.col("n") > SMALL)
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    m = told.join(stats.select("key", "n", blocks("n").alias("nb"), blocks("o").alias("ob")), "key").join(sketch, "rep")
+    h = F.xxhash64("rep")
+    cols = ["rep", "c", "size", "h", "n"]
+    left = m.where("c <> pc").withColumn("i", F.pmod(h, F.col("ob")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    right = m.withColumn("j", F.pmod(h, F.col("nb")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ob") - 1)))
+    unit = F.xxhash64("key", "i", "j").alias("unit")
+    rows = left.select(unit, *cols, F.lit(0).alias("side")).union(right.select(unit, *cols, F.lit(1).alias("side")))
+    s = percent / 100
+    wanted = math.floor(2 * M * K * s - 5.5 * math.sqrt(2 * M * K * s * (1 - s)))
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(parts, "unit"):
+            side = g["side"].to_numpy()
+            ids, c, size, h = g["rep"].to_numpy(), g["c"].to_numpy(), g["size"].to_numpy(), np.stack(g["h"].to_list())
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(a) or not len(b):
+                continue
+            for at in range(0, len(a), BLOCK):
+                p = a[at : at + BLOCK]
+                same = np.zeros((len(p), len(b)), dtype=np.uint8)
+                for k in range(h.shape[1]):
+                    same += h[p, k][:, None] == h[b, k]
+                sa, sb = size[p][:, None], size[b][None, :]
+                fits = (c[p][:, None] != c[b]) & (np.minimum(sa, sb) * 100 >= np.maximum(sa, sb) * percent)
+                same = np.where(fits & (same >= wanted), same, 0)
+                if every or g["n"].iloc[0] <= SMALL:
+                    i, j = np.nonzero(same)
+                else:
+                    j = same.argmax(axis=1)
+                    i = np.flatnonzero(same[np.arange(len(p)), j])
+                    j = j[i]
+                if len(i):
+                    yield pd.DataFrame({"a": ids[p[i]], "b": ids[b[j]], "m": same[i, j].astype("int32"), "every": every or g["n"].iloc[0] <= SMALL})
+
+    found = written(rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(search, "a long, b long, m int, every boolean"))
+    best = found.where("not every").groupBy("a").agg(F.max(F.struct("m", "b")).alias("t")).select("a", F.col("t.b").alias("b"))
+    pairs = found.where("every").select("a", "b").union(best)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept (one row per row)."""
-    w, shingles = _shingles(F.col("text"), width)
-    sets = docs.select("doc_id", w.alias("w")).select("doc_id", shingles.alias("s"))
     # sets themselves are never stored: a row keeps its size, a fingerprint of 128 bits and its minhashes
-    reduced = F.transform("s", lambda x: F.pmod(x, F.lit(MERSENNE)))
-    per_doc = written(
-        sets.select("doc_id", "s", reduced.alias("m")).select(
-            "doc_id", F.size("s").cast("long").alias("n_shingles"), F.struct(F.xxhash64(F.lit(1), "s").alias("x"), F.xxhash64(F.lit(2), "s").alias("y")).alias("print"),
-            F.array(*_minhashes(2 * M * K)).cast("array<int>").alias("h"),
-        )
-    )
+    made = docs.select("doc_id", _sketcher(width)("text").alias("k"))
+    per_doc = written(made.select("doc_id", "k.n_shingles", F.struct("k.x", "k.y").alias("print"), "k.h"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     # equal sets form one class before any comparison: the smallest doc_id stands for it
-    classes = per_doc.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"), F.first("n_shingles").alias("n_shingles"))
-    classes = written(classes)
-    sketch = classes.select("rep", "n_shingles", "h")
+    known = per_doc.where("n_shingles > 0 and doc_id is not null")
+    classes = written(known.groupBy("print").agg(F.min("doc_id").cast("long").alias("rep"), F.first("h").alias("h"), F.first("n_shingles").alias("size")))
+    sketch = classes.select("rep", "size", "h")
 
     def tuples(at: int):
         return [F.xxhash64(F.lit(i), F.slice("h", at + i * K + 1, K)) for i in range(M)]
@@ -73,37 +183,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = sketch.select("rep", first.alias("x"), second.alias("y")).select("rep", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(rows.join(shared.select("key", "pivot"), "key"))
-
-    def fits(p: DataFrame) -> DataFrame:
-        """Pairs whose set sizes allow the similarity."""
-        size = lambda c: sketch.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"))
-        both = p.join(size("a"), "a").join(size("b"), "b")
-        return both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-
-    def confirmed(p: DataFrame) -> DataFrame:
-        """Links among candidate pairs; only documents of some pair have their full sets made again."""
-        p = written(fits(p))
-        ids = p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
-        return written(_links(p, sets.join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), percent).distinct())
-
-    # first pass: every member of a bucket against the bucket's smallest id
     stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = confirmed(stars)
+    links = confirmed(stars, texts, width, percent)
     comp = components(links)
-    # second pass, exact for the rest: in buckets that still hold several components, every member
-    # outside the pivot's component against all members of other components
-    owner = comp.withColumnRenamed("id", "rep")
-    pivots = comp.select(F.col("id").alias("pivot"), F.col("component_id").alias("pc"))
-    told = (
-        members.join(owner, "rep", "left").join(pivots, "pivot", "left")
-        .select("key", "rep", "pivot", F.coalesce("component_id", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
-    )
-    told = written(told)
-    outside = told.where("c <> pc").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"))
-    inside = told.where("rep <> pivot").select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    rest = outside.join(inside, "key").where("ca <> cb")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = components(links.union(confirmed(rest)))
+
+    def told() -> DataFrame:
+        pivots = comp.select(F.col("id").alias("pivot"), F.col("component_id").alias("pc"))
+        both = members.join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(pivots, "pivot", "left")
+        return both.select("key", "rep", F.coalesce("component_id", "rep").alias("c"), F.coalesce("pc", "pivot").alias("pc"))
+
+    # what the stars leave apart: small buckets whole; large ones by best partners first, then whole
+    for large, every in ((False, False), (True, False), (True, True)):
+        pairs = _likely(written(told()), sketch, percent, large, every)
+        links = links.union(confirmed(pairs, texts, width, percent))
+        comp = components(links)
     roots = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component_id", "rep").alias("root"))
     return per_doc.drop("h").join(roots, "print", "left").select(
         "doc_id", "n_shingles",
