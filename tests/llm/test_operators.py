@@ -189,3 +189,32 @@ def test_odd_rows_and_empty_tables(spark, odd):
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert got and len({(r.shard, r.slot) for r in got}) == len(got)
+
+
+def test_minhash_large_buckets_equal_brute_force(spark):
+    """One group of 200 copies around the similarity, so buckets pass SMALL and the later rounds run."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = {}
+    for i in range(200):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randrange(1, 9)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(198)} for i, t in texts.items()}
+    root = dict.fromkeys(texts)
+    for i in texts:
+        if root[i] is None:
+            todo, root[i] = [i], i
+            while todo:
+                a = todo.pop()
+                for b in texts:
+                    both = len(sets[a] & sets[b])
+                    if root[b] is None and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                        root[b] = i
+                        todo.append(b)
+    assert 2 <= len(set(root.values())) < 100
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()} == root
