@@ -9,6 +9,7 @@ has size 0 and takes 0; null source is a source of its own, ordered last; an emp
 from __future__ import annotations
 
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +48,39 @@ def split_tree(rng: random.Random, quotas: list[int], shards: int) -> list[list[
     return split_tree(rng, a, left) + split_tree(rng, [q - x for q, x in zip(quotas, a)], shards - left)
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 2) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, mix_shard, mix_rank."""
+def block_copies(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """blocks(sid, block, source_size, target, words) -> sid, block, words, extra, held: the shard of each copy.
+
+    A source's copies are numbered round by round over its permuted blocks, the copies of the
+    last, partial round after them; copy n belongs to the shard whose run of quotas holds n.
+    """
+    spark = blocks.sparkSession
+    order = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed + 1), "sid", "block"), "block")
+    cut = blocks.select(
+        "sid", "block", "words", F.row_number().over(order).alias("at"), (F.sum("words").over(order) - F.col("words")).alias("before"),
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("rounds"),
+        F.floor("target").alias("whole"), "source_size", F.count("*").over(Window.partitionBy("sid")).alias("n"),
+    ).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("words"), F.col("whole") - F.col("rounds") * F.col("source_size") - F.col("before"))))
+    cut = cut.withColumn("more", (F.col("extra") > 0).cast("int")).withColumn("more_at", F.sum("more").over(order))
+    quotas = {r.sid: r.q for r in cut.groupBy("sid").agg(F.sum(F.col("rounds") + F.col("more")).alias("q")).collect()}
+    sids = sorted(quotas)
+    tree = split_tree(random.Random(seed), [quotas[i] for i in sids], shards)
+    runs = spark.createDataFrame(
+        [(i, list(accumulate(t[k] for t in tree))) for k, i in enumerate(sids)], "sid int, runs array<bigint>"
+    )
+    number = F.transform(
+        F.array_repeat(F.lit(0), F.col("rounds") + F.col("more")),
+        lambda _, c: F.when(c < F.col("rounds"), c * F.col("n") + F.col("at")).otherwise(F.col("rounds") * F.col("n") + F.col("more_at")),
+    )
+    held = F.transform(number, lambda k: F.size(F.filter("runs", lambda r: r < k)))
+    return cut.join(F.broadcast(runs), "sid").select("sid", "block", "words", "extra", held.alias("held"))
+
+
+def source_blocks(docs: DataFrame, seed: int) -> DataFrame:
+    """Each row of docs (as `row`) with its size, its source's size and target, and its hash block."""
     spark = docs.sparkSession
     d = docs.select(
-        "doc_id", F.size(space_words(F.col("text"))).cast("long").alias("size"), "source",
+        F.struct("*").alias("row"), F.size(space_words(F.col("text"))).cast("long").alias("size"), "source",
         F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))).alias("h"),
     )
     per = d.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -61,36 +90,34 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 2) -> DataFrame:
     goal = targets([r.s for r in per])
     known = [(r.source, r.s, goal[i], i, max(16, -(-r.n // BLOCK_DOCS))) for i, r in enumerate(per)]
     facts = spark.createDataFrame(known, "src string, source_size bigint, target double, sid int, blocks int")
-    b = d.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("src"))).withColumn("block", F.pmod("h", F.col("blocks")).cast("int")).drop("source", "src")
-    order = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed + 1), "sid", "block"), "block")
-    size = b.groupBy("sid", "block", "source_size", "target").agg(F.sum("size").alias("words"))
-    cut = size.select(
-        "sid", "block", "words", F.row_number().over(order).alias("at"), (F.sum("words").over(order) - F.col("words")).alias("before"),
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("rounds"),
-        F.floor("target").alias("whole"), "source_size",
-    ).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("words"), F.col("whole") - F.col("rounds") * F.col("source_size") - F.col("before"))))
-    # the tree splits block copies; a source's n-th copy belongs to the shard whose run of quotas holds n
-    copies = {r.sid: (r.q or 0) for r in cut.groupBy("sid").agg(F.sum(F.col("rounds") + (F.col("extra") > 0).cast("int")).alias("q")).collect()}
-    tree = split_tree(random.Random(seed), [copies.get(i, 0) for i in range(len(per))], shards)
-    runs = spark.createDataFrame(
-        [(i, [sum(t[i] for t in tree[: s + 1]) for s in range(shards)]) for i in range(len(per))], "sid int, runs array<bigint>"
-    )
-    cut = cut.join(F.broadcast(runs), "sid").withColumn("mix_shard", F.size(F.filter("runs", lambda r: r < F.col("at"))))
-    cut = cut.select("sid", "block", "words", "rounds", "extra", "mix_shard")
+    b = d.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("src")))
+    return b.withColumn("block", F.pmod("h", F.col("blocks")).cast("int")).drop("source", "src", "blocks")
+
+
+def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 2) -> DataFrame:
+    """row, size, source_size, target, taken, mix_shards (the shard of each copy taken, whole or in part), mix_rank."""
+    b = source_blocks(docs, seed)
+    held = block_copies(b.groupBy("sid", "block", "source_size", "target").agg(F.sum("size").alias("words")), shards, seed)
     edge = F.col("extra").between(F.lit(1), F.col("words") - 1)
-    full = b.join(cut, ["sid", "block"])
-    took = F.col("rounds") * F.col("size")
-    plain = full.where(~edge).withColumn("taken", took + F.when(F.col("extra") > 0, F.col("size")).otherwise(0))
-    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    part = full.where(edge).withColumn("taken", took + F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.coalesce(F.sum("size").over(within), F.lit(0)))))
+    full = b.join(held, ["sid", "block"])
+    copies = F.size("held")
+    plain = full.where(~edge).withColumn("part", F.lit(0).cast("long")).withColumn("whole", copies)
+    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "row.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    part = full.where(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.coalesce(F.sum("size").over(within), F.lit(0))))).withColumn("whole", copies - 1)
+    n = F.when(F.col("size") > 0, F.col("whole") + (F.col("part") > 0).cast("int")).otherwise(0)
     return plain.unionByName(part).select(
-        "doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"),
-        "mix_shard", F.xxhash64(F.lit(seed + 3), "h").alias("mix_rank"),
+        "row", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
+        F.slice("held", 1, n).alias("mix_shards"), F.xxhash64(F.lit(seed + 3), "h").alias("mix_rank"),
     )
 
 
+def mix(docs: DataFrame, shards: int = 16, seed: int = 2) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, mix_shards, mix_rank."""
+    return mixed_rows(docs, shards, seed).select("row.doc_id", "size", "source_size", "target", "taken", "mix_shards", "mix_rank")
+
+
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, whole (a part counts as one)."""
-    m = mix(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).alias("_times"))
-    m = m.where("doc_id is not null").groupBy("doc_id").agg(F.max("_times").alias("_times"))
-    return docs.join(m, "doc_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    """Pipeline stage: each document as often as the mix takes it, whole (a part counts as one), with each copy's mix_shard."""
+    m = mix(docs).select("doc_id", "mix_shards")
+    m = m.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("mix_shards", F.size("mix_shards")).alias("_held"))
+    return docs.join(m, "doc_id").select(*docs.columns, F.explode("_held").alias("mix_shard"))

@@ -218,3 +218,29 @@ def test_minhash_large_buckets_equal_brute_force(spark):
     assert 2 <= len(set(root.values())) < 100
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()} == root
+
+
+def test_mixing_copies_follow_the_tree(spark):
+    """Every copy lies in one shard; each shard holds its tree quota of every source, also of sources taken twice."""
+    import random
+    from collections import Counter
+
+    docs = table(spark, SF, "documents")
+    rows = mixing.source_blocks(docs, 2)
+    held = mixing.block_copies(rows.groupBy("sid", "block", "source_size", "target").agg({"size": "sum"}).withColumnRenamed("sum(size)", "words"), 16, 2).collect()
+    got = Counter((r.sid, s) for r in held for s in r.held)
+    quotas = Counter(r.sid for r in held for _ in r.held)
+    tree = mixing.split_tree(random.Random(2), [quotas[i] for i in range(20)], 16)
+    assert got == Counter({(i, s): q for s, t in enumerate(tree) for i, q in enumerate(t) if q})
+    size = Counter()
+    for s, t in enumerate(tree):
+        size[s] = sum(t)
+    assert max(size.values()) - min(size.values()) <= 1
+    twice = {r.sid for r in held if len(r.held) > 1}
+    assert twice and all(len({s for r in held if r.sid == i for s in r.held}) == sum(t[i] > 0 for t in tree) for i in twice)
+    taken = mixing.mix(docs).collect()
+    assert all(len(r.mix_shards) == (-(-r.taken // r.size) if r.size else 0) for r in taken)
+    at = {r.row.doc_id: (r.sid, r.block) for r in rows.collect()}
+    shards = {(r.sid, r.block): r.held for r in held}
+    assert all(r.mix_shards == shards[at[r.doc_id]][: len(r.mix_shards)] for r in taken)
+    assert Counter(s for r in mixing.apply_mix(docs).collect() for s in [r.mix_shard]) == Counter(s for r in taken for s in r.mix_shards)
