@@ -80,7 +80,7 @@ def source_blocks(docs: DataFrame, seed: int) -> DataFrame:
     """Each row of docs (as `row`) with its size, its source's size and target, and its hash block."""
     spark = docs.sparkSession
     d = docs.select(
-        F.struct("*").alias("row"), F.size(space_words(F.col("text"))).cast("long").alias("size"), "source",
+        F.struct("*").alias("row"), "doc_id", F.size(space_words(F.col("text"))).cast("long").alias("size"), "source",
         F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))).alias("h"),
     )
     per = d.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -95,29 +95,30 @@ def source_blocks(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 2) -> DataFrame:
-    """row, size, source_size, target, taken, mix_shards (the shard of each copy taken, whole or in part), mix_rank."""
+    """row (all of a document's columns), doc_id, size, source_size, target, taken, mix_shards (the shard of each copy taken, whole or in part), mix_rank."""
     b = source_blocks(docs, seed)
     held = block_copies(b.groupBy("sid", "block", "source_size", "target").agg(F.sum("size").alias("words")), shards, seed)
     edge = F.col("extra").between(F.lit(1), F.col("words") - 1)
     full = b.join(held, ["sid", "block"])
     copies = F.size("held")
     plain = full.where(~edge).withColumn("part", F.lit(0).cast("long")).withColumn("whole", copies)
-    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "row.doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     part = full.where(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.coalesce(F.sum("size").over(within), F.lit(0))))).withColumn("whole", copies - 1)
     n = F.when(F.col("size") > 0, F.col("whole") + (F.col("part") > 0).cast("int")).otherwise(0)
     return plain.unionByName(part).select(
-        "row", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
+        "row", "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
         F.slice("held", 1, n).alias("mix_shards"), F.xxhash64(F.lit(seed + 3), "h").alias("mix_rank"),
     )
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 2) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, mix_shards, mix_rank."""
-    return mixed_rows(docs, shards, seed).select("row.doc_id", "size", "source_size", "target", "taken", "mix_shards", "mix_rank")
+    return mixed_rows(docs, shards, seed).drop("row")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, whole (a part counts as one), with each copy's mix_shard."""
-    m = mix(docs).select("doc_id", "mix_shards")
-    m = m.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("mix_shards", F.size("mix_shards")).alias("_held"))
-    return docs.join(m, "doc_id").select(*docs.columns, F.explode("_held").alias("mix_shard"))
+    """Pipeline stage: each row as often as the mix takes it, whole (a part counts as one), with each copy's mix_shard.
+
+    Rows carry their own columns through the mix, so null and repeated doc_ids are taken like any other.
+    """
+    return mixed_rows(docs).select("row.*", F.explode("mix_shards").alias("mix_shard"))

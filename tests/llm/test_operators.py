@@ -244,3 +244,15 @@ def test_mixing_copies_follow_the_tree(spark):
     shards = {(r.sid, r.block): r.held for r in held}
     assert all(r.mix_shards == shards[at[r.doc_id]][: len(r.mix_shards)] for r in taken)
     assert Counter(s for r in mixing.apply_mix(docs).collect() for s in [r.mix_shard]) == Counter(s for r in taken for s in r.mix_shards)
+
+
+def test_pipeline_mixing_keeps_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    rows = [(None if i % 3 else i // 6, f"w{i} " * (1 + i % 5), "en", f"s{i % 3}", i, "x") for i in range(120)]
+    docs = spark.createDataFrame(rows, DOC)
+    want = Counter()
+    for r in mixing.mixed_rows(docs).collect():
+        want[r.row] += -(-r.taken // r.size)
+    got = Counter(spark.createDataFrame(mixing.apply_mix(docs).drop("mix_shard").collect(), DOC).collect())
+    assert got == +want and sum(n for r, n in got.items() if r.doc_id is None) > 60
