@@ -99,7 +99,7 @@ CATALOG = {
         "with u as (select vec_id, label, embedding::double[] v from embeddings) select a.label, cast((1 + sqrt(1 + 8 * count(*))) / 2 as bigint) n, round(avg(1 - list_cosine_similarity(a.v, b.v)), 4) diversity from u a join u b on a.label = b.label and a.vec_id < b.vec_id group by 1",
     ),
     "distinct_k": (lambda s, d: V.distinct_k(table(s, d, "embeddings"), "label", "embedding", 0.85), None),
-    "rarefied_k": (lambda s, d: V.rarefied_k(table(s, d, "embeddings"), "label", "embedding", 8, 0.85, 100), None),
+    "rarefied_k": (lambda s, d: V.rarefied_k(table(s, d, "embeddings"), "label", "embedding", None, 0.85, order="vec_id"), None),
     "mulberry32": (lambda s, d: table(s, d, "orders").select("o_orderkey", mulberry32(F.col("o_orderkey")).alias("draw")), None),
     "models_union": (lambda s, d: table(s, d, "customer").selectExpr("c_nationkey as k").union(table(s, d, "supplier").selectExpr("s_nationkey as k")).distinct(), "select c_nationkey k from customer union select s_nationkey from supplier"),
     "absent_arms": (lambda s, d: table(s, d, "nation").selectExpr("n_nationkey as k").exceptAll(table(s, d, "supplier").selectExpr("s_nationkey as k").distinct()), "select n_nationkey k from nation except select s_nationkey from supplier"),

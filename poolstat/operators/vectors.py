@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BATCH, MAX_TASKS = 50, 2000
+
 
 def pool_diversity(vectors: DataFrame, pool: str, vector: str) -> DataFrame:
     """Mean pairwise cosine distance by the closed form 1 - (|sum u|^2 - n) / (n (n - 1)); no pairs are made."""
@@ -48,16 +50,72 @@ def distinct_k(vectors: DataFrame, pool: str, vector: str, threshold: float) ->
     return vectors.select(pool, vector).groupBy(pool).applyInPandas(run, f"{pool} {kind}, n long, k long, collapse_rate double")
 
 
-def rarefied_k(vectors: DataFrame, pool: str, vector: str, size: int, threshold: float, rounds: int = 1000, seed: int = 20260901) -> DataFrame:
-    """Mean distinct count over seeded draws of `size` items without replacement; every pool restarts the seed."""
-    kind = dict(vectors.dtypes)[pool]
+def cluster_count(d: np.ndarray, threshold: float) -> int:
+    """len(average_linkage(d, threshold)): the same merges in the same order, each row's nearest later row kept."""
+    n, left = len(d), len(d)
+    x = np.full((2 * n, 2 * n), np.inf)
+    x[:n, :n] = np.where(np.triu(np.ones(d.shape, dtype=bool), 1), d, np.inf)
+    size, alive = np.ones(2 * n), np.arange(2 * n) < n
+    nearest = x.argmin(axis=1)
+    least = x[np.arange(2 * n), nearest]
+    for new in range(n, 2 * n - 1):
+        i = int(least.argmin())
+        j = int(nearest[i])
+        if least[i] >= threshold:
+            break
+        alive[[i, j]] = False
+        keep = np.flatnonzero(alive[:new])
+        both = (size[i] * np.minimum(x[i, keep], x[keep, i]) + size[j] * np.minimum(x[j, keep], x[keep, j])) / (size[i] + size[j])
+        size[new], alive[new] = size[i] + size[j], True
+        x[[i, j]], x[:, [i, j]] = np.inf, np.inf
+        x[keep, new] = both
+        least[[i, j]] = np.inf
+        again = keep[(nearest[keep] == i) | (nearest[keep] == j)]
+        nearest[again] = x[again].argmin(axis=1)
+        least[again] = x[again, nearest[again]]
+        closer = both < least[keep]
+        nearest[keep[closer]], least[keep[closer]] = new, both[closer]
+        left -= 1
+    return left
+
+
+def mulberry32_draws(seed: int, start: int, n: int) -> np.ndarray:
+    """Draws start .. start + n - 1 of the mulberry32 stream, by its counter form."""
+    mask = np.uint64(0xFFFFFFFF)
+    a = (np.uint64(seed & 0xFFFFFFFF) + np.arange(start + 1, start + n + 1, dtype=np.uint64) * np.uint64(0x6D2B79F5)) & mask
+    t = ((a ^ a >> np.uint64(15)) * (a | np.uint64(1))) & mask
+    t ^= (t + (((t ^ t >> np.uint64(7)) * (t | np.uint64(61))) & mask)) & mask
+    return ((t ^ t >> np.uint64(14)) & mask) / 4294967296.0
+
+
+def splice_draw(pool: int, draws: np.ndarray) -> list[int]:
+    """Indices without replacement, in draw order; each draw points into what is left, in order."""
+    left = list(range(pool))
+    return [left.pop(int(u * len(left))) for u in draws]
+
+
+def rarefied_k(
+    vectors: DataFrame, pool: str, vector: str, size: int | None, threshold: float, rounds: int = 1000, seed: int = 20260901, order: str | None = None
+) -> DataFrame:
+    """Mean distinct count over seeded draws of `size` items (None: the smallest pool's) without replacement.
+
+    Every pool restarts the seed; its items count in the order of the column `order`. A task takes BATCH draws of one pool.
+    """
+    kind, cols = dict(vectors.dtypes)[pool], [pool, vector] + ([order] if order else [])
+    least, pools = vectors.groupBy(pool).count().agg(F.min("count"), F.count("*")).first()
+    size, batches = size or least or 0, -(-rounds // BATCH)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        d, rng = distance_matrix(np.stack(g[vector].to_list()).astype(float)), np.random.default_rng(seed)
-        ks = []
-        for _ in range(rounds):
-            at = np.sort(rng.choice(len(d), size, replace=False))
-            ks.append(len(average_linkage(d[np.ix_(at, at)], threshold)))
-        return pd.DataFrame({pool: [g[pool].iloc[0]], "mean_k": [float(np.mean(ks))]})
-
-    return vectors.select(pool, vector).groupBy(pool).applyInPandas(run, f"{pool} {kind}, mean_k double")
+        if order:
+            g = g.sort_values(order, kind="stable")
+        d, first = distance_matrix(np.stack(g[vector].to_list()).astype(float)), int(g["_batch"].iloc[0]) * BATCH
+        k = 0
+        for r in range(first, min(first + BATCH, rounds)):
+            at = splice_draw(len(d), mulberry32_draws(seed, r * size, size))
+            k += cluster_count(d[np.ix_(at, at)], threshold)
+        return pd.DataFrame({pool: [g[pool].iloc[0]], "_k": [k]})
+
+    dealt = vectors.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("_batch"))
+    dealt = dealt.repartition(min(MAX_TASKS, max(1, pools * batches)), pool, "_batch")  # few bytes but long tasks: not to be coalesced
+    sums = dealt.groupBy(pool, "_batch").applyInPandas(run, f"{pool} {kind}, _k long")
+    return sums.groupBy(pool).agg((F.sum("_k") / rounds).alias("mean_k"))
