@@ -46,24 +46,30 @@ def space_words(c: Column) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links of longs -> (id, component_id): smallest id reachable.
+    """(a, b) links of longs -> (id, component_id): smallest id reachable, for every id in a link.
 
-    Label propagation with pointer jumping; every round is a table in the shared folder.
+    Every node takes the name of the least of its closed neighbourhood in a hash order, links are renamed and
+    repeated names fall together, until no link is left: an expected number of rounds logarithmic in the longest path.
     """
-    edges = written(
-        links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
-    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
-    while True:
-        near = (
-            edges.join(labels.withColumnRenamed("id", "b"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("c").alias("n"))
-        )
-        step = labels.join(near, "id").select("id", "c", F.least("c", "n").alias("n"))
-        jump = labels.select(F.col("id").alias("n"), F.col("c").alias("j"))
-        after = written(step.join(jump, "n", "left").select("id", F.least("n", F.coalesce("j", "n")).alias("new"), "c"))
-        moved = not after.where("new <> c").isEmpty()
-        labels = after.select("id", F.col("new").alias("c"))
-        if not moved:
-            return labels.select("id", F.col("c").alias("component_id"))
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, names, turn = written(ends.where("a <> b").distinct()), None, 0
+    every = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    while not edges.isEmpty():
+        turn += 1
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        both = edges.select("a", rank("b").alias("r")).union(edges.select("b", rank("a")))
+        least = both.groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
+        step = written(least.select("id", F.least("r", rank("id"))["id"].alias("name")))
+        a, b = step.select(F.col("id").alias("a"), F.col("name").alias("x")), step.select(F.col("id").alias("b"), F.col("name").alias("y"))
+        renamed = edges.join(a, "a").join(b, "b").where("x <> y")
+        edges = written(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if names is None:
+            names = step
+        else:
+            next_ = step.select(F.col("id").alias("name"), F.col("name").alias("_n"))
+            names = names.join(next_, "name", "left").select("id", F.coalesce("_n", "name").alias("name"))
+    if names is None:
+        return every.select("id", F.col("id").alias("component_id"))
+    names = written(names)
+    smallest = names.groupBy("name").agg(F.min("id").alias("component_id"))
+    return names.join(smallest, "name").select("id", "component_id")
