@@ -7,6 +7,7 @@ from poolstat.operators import aggregates as A
 from poolstat.operators import joins as J
 from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
+from poolstat.plans import judges, money, statistics, store, texts
 from poolstat.sources.tables import cells, table
 
 CELLS = "(select l_returnflag arm, l_suppkey % 12 brief, l_linenumber replicate, l_quantity response, l_extendedprice / 1000 as cost from lineitem)"
@@ -29,9 +30,7 @@ def _stored(s, d):
 
 
 def _ledger(s, d):
-    rates = table(s, d, "part").where("p_partkey % 10 <> 0").selectExpr(
-        "p_partkey as l_partkey", "p_retailprice / 1000 as rate", "p_retailprice / 2000 as intro_rate", "date '2023-01-01' as intro_until"
-    )
+    rates = table(s, d, "part").selectExpr("p_partkey as l_partkey", "p_retailprice / 1000 as rate", "p_retailprice / 2000 as intro_rate", "date '1998-01-01' as intro_until")
     rows = table(s, d, "lineitem").selectExpr("l_partkey", "l_returnflag", "l_quantity as tokens", "cast(l_shipdate as date) as day")
     priced = J.price(rows, rates, "l_partkey", "day")
     return priced.groupBy("l_returnflag").agg(F.sum("usd").alias("usd"), F.count_if("missing").alias("missing"))
@@ -70,8 +69,8 @@ CATALOG = {
     ),
     "price_ledger": (
         lambda s, d: rounded(_ledger(s, d), 2),
-        "select l_returnflag, round(sum(l_quantity * case when cast(l_shipdate as date) <= date '2023-01-01' then p_retailprice / 2000 else p_retailprice / 1000 end), 2) usd, count(*) filter (p_partkey is null) missing "
-        "from lineitem left join (select * from part where p_partkey % 10 <> 0) on l_partkey = p_partkey group by 1",
+        "select l_returnflag, round(sum(l_quantity * case when cast(l_shipdate as date) <= date '1998-01-01' then p_retailprice / 2000 else p_retailprice / 1000 end), 2) usd, count(*) filter (p_partkey is null) missing "
+        "from lineitem left join part on l_partkey = p_partkey group by 1",
     ),
     "pareto_frontier": (
         lambda s, d: J.pareto_frontier(table(s, d, "part").select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_size"),
@@ -102,13 +101,16 @@ CATALOG = {
     "rarefied_k": (lambda s, d: V.rarefied_k(table(s, d, "embeddings"), "label", "embedding", None, 0.85, order="vec_id"), None),
     "mulberry32": (lambda s, d: table(s, d, "orders").select("o_orderkey", mulberry32(F.col("o_orderkey")).alias("draw")), None),
     "models_union": (lambda s, d: table(s, d, "customer").selectExpr("c_nationkey as k").union(table(s, d, "supplier").selectExpr("s_nationkey as k")).distinct(), "select c_nationkey k from customer union select s_nationkey from supplier"),
-    "absent_arms": (lambda s, d: table(s, d, "nation").selectExpr("n_nationkey as k").exceptAll(table(s, d, "supplier").selectExpr("s_nationkey as k").distinct()), "select n_nationkey k from nation except select s_nationkey from supplier"),
+    "absent_arms": (lambda s, d: table(s, d, "part").selectExpr("p_size as k").subtract(table(s, d, "nation").selectExpr("n_nationkey as k")), "select p_size k from part except select n_nationkey from nation"),
 }
 
 
+ALL = CATALOG | money.QUERIES | store.QUERIES | statistics.QUERIES | judges.QUERIES | texts.QUERIES
+
+
 def queries():
-    return {k: f for k, (f, _) in CATALOG.items()}
+    return {k: f for k, (f, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {k: q for k, (_, q) in CATALOG.items() if q}
+    return {k: q for k, (_, q) in ALL.items() if q}

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import with_ranges
+
 
 def plan_cells(arms: DataFrame, briefs: DataFrame, replicates: int) -> DataFrame:
     """arms x briefs x replicates; the grid is what is asked for, so the product is its size."""
@@ -31,12 +33,19 @@ def price(ledger: DataFrame, rates: DataFrame, on: str, day: str) -> DataFrame:
     return ledger.join(rates, on, "left").withColumn("usd", F.col("tokens") * usd).withColumn("missing", F.col("rate").isNull())
 
 
-def pareto_frontier(points: DataFrame, cost: str, value: str) -> DataFrame:
-    """Points no other dominates (cheaper or equal and better or equal, one of them strictly).
+def on_frontier(points: DataFrame, cost: str, value: str) -> DataFrame:
+    """Points with `on_frontier`: false where another is cheaper or equal and better or equal, one of them strictly.
 
-    Costs are reduced to their best value first, so the running maximum spans distinct costs only.
+    Costs are reduced to their best value; ranges of costs (`with_ranges`) carry the best of the ranges before them.
     """
-    best = points.groupBy(cost).agg(F.max(value).alias("_best"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_prior", F.max("_best").over(cheaper)).where("_prior is null or _best > _prior")
-    return points.join(front, cost).where(F.col(value) == F.col("_best")).drop("_best", "_prior")
+    best = with_ranges(points.groupBy(cost).agg(F.max(value).alias("_best")), [], cost)
+    local = F.max("_best").over(Window.partitionBy("_q").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    tops = best.groupBy("_q").agg(F.max("_best").alias("_top"))  # one row a range
+    before = tops.withColumn("_lower", F.max("_top").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    front = best.withColumn("_prior", local).join(F.broadcast(before), "_q").withColumn("_prior", F.greatest("_prior", "_lower")).drop("_q", "_lower")
+    return points.join(front, cost).withColumn("on_frontier", (F.col(value) == F.col("_best")) & (F.col("_prior").isNull() | (F.col("_best") > F.col("_prior")))).drop("_best", "_prior")
+
+
+def pareto_frontier(points: DataFrame, cost: str, value: str) -> DataFrame:
+    """Points no other dominates."""
+    return on_frontier(points, cost, value).where("on_frontier").drop("on_frontier")

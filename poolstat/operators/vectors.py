@@ -5,23 +5,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH, MAX_TASKS = 50, 2000
+from poolstat.errors import check
+
+#: draws in a task; tasks at most; vectors of a pool, whose distances are a square matrix in one task
+BATCH, MAX_TASKS, MAX_POOL = 50, 2000, 10_000
 
 
 def pool_diversity(vectors: DataFrame, pool: str, vector: str) -> DataFrame:
-    """Mean pairwise cosine distance by the closed form 1 - (|sum u|^2 - n) / (n (n - 1)); no pairs are made."""
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.withColumn("_v", F.col(vector).cast("array<double>")).withColumn("_u", F.transform("_v", lambda x: x / norm))
-    sums = unit.select(pool, F.posexplode("_u").alias("_k", "_x")).groupBy(pool, "_k").agg(F.sum("_x").alias("_s"), F.count("*").alias("_n"))
-    out = sums.groupBy(pool).agg(F.sum(F.col("_s") * F.col("_s")).alias("_q"), F.max("_n").alias("n")).where("n >= 2")
-    return out.select(pool, "n", (1 - (F.col("_q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("diversity"))
+    """Mean pairwise cosine distance by the closed form 1 - (|sum u|^2 - n) / (n (n - 1)); no pairs are made.
+
+    Unit vectors are summed by element in one aggregation; a null, zero or odd-sized vector raises; pools of one give no row.
+    """
+    first = vectors.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
+    d = first["d"] if first else 0
+    v = F.col(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    bad = F.col(vector).isNull() | (F.size(vector) != d) | F.coalesce(norm == 0, F.lit(True))
+    unit = vectors.select(pool, F.when(bad, F.raise_error(F.lit("a pool's vectors have one length and are not zero")).cast("array<double>")).otherwise(F.transform(v, lambda x: x / norm)).alias("_u"))
+    sums = unit.groupBy(pool).agg(F.count("*").alias("n"), *[F.sum(F.get("_u", F.lit(k))).alias(f"_{k}") for k in range(d)]).where("n >= 2")
+    square = F.lit(0.0)
+    for k in range(d):
+        square = square + F.col(f"_{k}") * F.col(f"_{k}")
+    return sums.select(pool, "n", (1 - (square - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("diversity"))
+
+
+def min_pool_size(vectors: DataFrame, pool: str) -> DataFrame:
+    """One row: the size of the smallest pool."""
+    return vectors.groupBy(pool).count().agg(F.min("count").alias("n"))
 
 
 def distance_matrix(x: np.ndarray) -> np.ndarray:
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Cosine distances; a zero or non-finite vector is refused."""
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    check(bool(np.isfinite(norm).all() and (norm > 0).all()), "a pool holds a zero or non-finite vector")
+    u = x / norm
     return 1 - u @ u.T
 
 
+def stacked(vectors) -> np.ndarray:
+    """A pool's vectors as a matrix; nulls and unlike lengths are refused, and pools over MAX_POOL."""
+    check(len(vectors) <= MAX_POOL, f"a pool of {len(vectors)} vectors is over {MAX_POOL}")
+    check(all(v is not None for v in vectors) and len({len(v) for v in vectors}) == 1, "a pool's vectors have one length and are not null")
+    return np.stack(list(vectors)).astype(float)
+
+
 def average_linkage(d: np.ndarray, threshold: float) -> list[list[int]]:
     """Merge the closest pair (first in order on ties) until none is under the threshold; a merged cluster goes last."""
     d, groups = d.copy(), [[i] for i in range(len(d))]
@@ -44,15 +71,18 @@ def distinct_k(vectors: DataFrame, pool: str, vector: str, threshold: float) ->
     kind = dict(vectors.dtypes)[pool]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        k = len(average_linkage(distance_matrix(np.stack(g[vector].to_list()).astype(float)), threshold))
+        k = cluster_count(distance_matrix(stacked(g[vector].to_list())), threshold)
         return pd.DataFrame({pool: [g[pool].iloc[0]], "n": [len(g)], "k": [k], "collapse_rate": [1 - k / len(g)]})
 
     return vectors.select(pool, vector).groupBy(pool).applyInPandas(run, f"{pool} {kind}, n long, k long, collapse_rate double")
 
 
-def cluster_count(d: np.ndarray, threshold: float) -> int:
-    """len(average_linkage(d, threshold)): the same merges in the same order, each row's nearest later row kept."""
-    n, left = len(d), len(d)
+def merge_heights(d: np.ndarray, stop: float) -> list[float]:
+    """Heights under `stop` of average_linkage's merges, in order; each row's nearest later row is kept.
+
+    Average linkage never goes down, so the clusters at a threshold are as many as there are points less the heights under it.
+    """
+    n, heights = len(d), []
     x = np.full((2 * n, 2 * n), np.inf)
     x[:n, :n] = np.where(np.triu(np.ones(d.shape, dtype=bool), 1), d, np.inf)
     size, alive = np.ones(2 * n), np.arange(2 * n) < n
@@ -61,8 +91,9 @@ def cluster_count(d: np.ndarray, threshold: float) -> int:
     for new in range(n, 2 * n - 1):
         i = int(least.argmin())
         j = int(nearest[i])
-        if least[i] >= threshold:
+        if least[i] >= stop:
             break
+        heights.append(float(least[i]))
         alive[[i, j]] = False
         keep = np.flatnonzero(alive[:new])
         both = (size[i] * np.minimum(x[i, keep], x[keep, i]) + size[j] * np.minimum(x[j, keep], x[keep, j])) / (size[i] + size[j])
@@ -75,8 +106,38 @@ def cluster_count(d: np.ndarray, threshold: float) -> int:
         least[again] = x[again, nearest[again]]
         closer = both < least[keep]
         nearest[keep[closer]], least[keep[closer]] = new, both[closer]
-        left -= 1
-    return left
+    return heights
+
+
+def cluster_count(d: np.ndarray, threshold: float) -> int:
+    return len(d) - len(merge_heights(d, threshold))
+
+
+def clusters(vectors: DataFrame, pool: str, key: str, vector: str, threshold: float) -> DataFrame:
+    """pool, key, cluster: members in the order clusters are left by merging, each named by its smallest position."""
+    kinds = dict(vectors.dtypes)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(key, kind="stable")
+        label = np.empty(len(g), dtype=np.int64)
+        for n, members in enumerate(average_linkage(distance_matrix(stacked(g[vector].to_list())), threshold)):
+            label[members] = n
+        return pd.DataFrame({pool: g[pool].to_numpy(), key: g[key].to_numpy(), "cluster": label})
+
+    return vectors.select(pool, key, vector).groupBy(pool).applyInPandas(run, f"{pool} {kinds[pool]}, {key} {kinds[key]}, cluster long")
+
+
+def sensitivity(vectors: DataFrame, pool: str, vector: str, threshold: float, band: float = 0.05) -> DataFrame:
+    """Distinct counts at the threshold and a band to each side (not under 0), from one dendrogram a pool."""
+    check(threshold >= 0 and band >= 0, f"threshold {threshold} and band {band} must not be negative")
+    kind, cuts = dict(vectors.dtypes)[pool], (max(0.0, threshold - band), threshold, threshold + band)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        h = np.array(merge_heights(distance_matrix(stacked(g[vector].to_list())), cuts[2]))
+        low, base, high = (len(g) - int((h < c).sum()) for c in cuts)
+        return pd.DataFrame({pool: [g[pool].iloc[0]], "n": [len(g)], "k_low": [low], "k": [base], "k_high": [high]})
+
+    return vectors.select(pool, vector).groupBy(pool).applyInPandas(run, f"{pool} {kind}, n long, k_low long, k long, k_high long")
 
 
 def mulberry32_draws(seed: int, start: int, n: int) -> np.ndarray:
@@ -108,7 +169,7 @@ def rarefied_k(
     def run(g: pd.DataFrame) -> pd.DataFrame:
         if order:
             g = g.sort_values(order, kind="stable")
-        d, first = distance_matrix(np.stack(g[vector].to_list()).astype(float)), int(g["_batch"].iloc[0]) * BATCH
+        d, first = distance_matrix(stacked(g[vector].to_list())), int(g["_batch"].iloc[0]) * BATCH
         k = 0
         for r in range(first, min(first + BATCH, rounds)):
             at = splice_draw(len(d), mulberry32_draws(seed, r * size, size))

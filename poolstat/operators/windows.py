@@ -1,39 +1,108 @@
-"""Ranks, multiplicity corrections and retention."""
+"""Ranks, multiplicity corrections and retention.
 
-from pyspark.sql import DataFrame
+Windows over few keys would sort a table in few tasks. Groups over SPLIT_ROWS are therefore cut into value ranges
+(`with_ranges`): each range is ranked apart and shifted by what the ranges before it hold, so a group is spread over
+RANGES tasks; equal values always share a range. Smaller groups are one range.
+"""
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from poolstat.errors import check
+
+SPLIT_ROWS, RANGES = 2_000_000, 64
+
+
+def with_ranges(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """rows with `_q`, the number of their value's range within a large group (0 in others)."""
+    large = [r for r in rows.groupBy(*by).count().where(F.col("count") > SPLIT_ROWS).drop("count").collect()]  # at most rows / SPLIT_ROWS
+    if not large:
+        return rows.withColumn("_q", F.lit(0))
+    if by:
+        keys = rows.sparkSession.createDataFrame(large, rows.select(*by).schema)
+        own = rows.join(F.broadcast(keys), by, "left_semi")
+    else:
+        own = rows
+    cuts = own.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    fixed = rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # RANGES numbers for each large group
+    joined = rows.join(F.broadcast(fixed), by, "left") if by else rows.crossJoin(F.broadcast(fixed))
+    return joined.withColumn("_q", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double"))), F.lit(0))).drop("_cuts")
+
+
+def _shifted(rows: DataFrame, by: list[str], what: Column, backward: bool = False) -> DataFrame:
+    """rows joined with `_before`: `what` over the ranges before their own (after it, if backward)."""
+    per = rows.groupBy(*by, "_q").agg(what.alias("_own"))
+    order = Window.partitionBy(*by).orderBy(F.desc("_q") if backward else "_q").rowsBetween(Window.unboundedPreceding, -1)
+    combine = F.sum if "count" in str(what) else (F.min if backward else F.max)
+    return rows.join(per.withColumn("_before", combine("_own").over(order)).drop("_own"), [*by, "_q"])
+
 
-def holm(p: DataFrame, by: str, value: str, tie: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(value, tie)
-    m = F.count("*").over(Window.partitionBy(by))
-    raw = p.withColumn("_r", F.row_number().over(w)).withColumn("_a", F.least(F.lit(1.0), (m - F.col("_r") + 1) * F.col(value)))
-    return raw.withColumn("holm", F.max("_a").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_a")
+def _p_values(p: DataFrame, by: list[str], value: str, family_size: int | None) -> DataFrame:
+    """Rows with a p-value in [0, 1]; null ones do not count, others out of range raise."""
+    v = F.col(value)
+    bad = F.isnan(v.cast("double")) | (v < 0) | (v > 1)
+    own = p.where(v.isNotNull()).withColumn(value, F.when(bad, F.raise_error(F.lit("a p-value lies in [0, 1]")).cast("double")).otherwise(v))
+    if family_size is not None:
+        other = own.groupBy(*by).count().where(F.col("count") != family_size)
+        check(other.isEmpty(), f"not {family_size} p-values in {[tuple(r) for r in other.limit(5).collect()]}")
+    return own
+
+
+def _numbered(p: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
+    """Adds `_r`, the place of a row in its group, and `_m`, the group's size."""
+    own = with_ranges(p, by, value)
+    own = _shifted(own, by, F.count("*")).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_q").orderBy(value, tie)) + F.coalesce("_before", F.lit(0)))
+    return own.drop("_before").join(p.groupBy(*by).agg(F.count("*").alias("_m")), by)
+
+
+def holm(p: DataFrame, by: str, value: str, tie: str, family_size: int | None = None) -> DataFrame:
+    """Step-down adjustment: running maximum of (m - rank + 1) p, at most 1; null p-values do not count and get no row."""
+    keys = [by]
+    raw = _numbered(_p_values(p, keys, value, family_size), keys, value, tie).withColumn("_a", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(value)))
+    local = raw.withColumn("_x", F.max("_a").over(Window.partitionBy(by, "_q").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)))
+    return _shifted(local, keys, F.max("_a")).withColumn("holm", F.greatest("_x", F.coalesce("_before", "_x"))).drop("_r", "_m", "_a", "_x", "_q", "_before")
 
 
 def benjamini_hochberg(p: DataFrame, by: str, value: str, tie: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(value, tie)
-    m = F.count("*").over(Window.partitionBy(by))
-    raw = p.withColumn("_a", F.least(F.lit(1.0), F.col(value) * m / F.row_number().over(w)))
-    return raw.withColumn("bh", F.min("_a").over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_a")
+    """Step-up adjustment: running minimum from the end of m p / rank, at most 1."""
+    keys = [by]
+    raw = _numbered(_p_values(p, keys, value, None), keys, value, tie).withColumn("_a", F.least(F.lit(1.0), F.col(value) * F.col("_m") / F.col("_r")))
+    local = raw.withColumn("_x", F.min("_a").over(Window.partitionBy(by, "_q").orderBy("_r").rowsBetween(0, Window.unboundedFollowing)))
+    return _shifted(local, keys, F.min("_a"), True).withColumn("bh", F.least("_x", F.coalesce("_before", "_x"))).drop("_r", "_m", "_a", "_x", "_q", "_before")
 
 
 def rank_with_ties(rows: DataFrame, by: str, value: str, out: str = "rank_avg") -> DataFrame:
-    """Average rank of peers."""
-    peers = F.count("*").over(Window.partitionBy(by, value))
-    return rows.withColumn(out, F.rank().over(Window.partitionBy(by).orderBy(value)) + (peers - 1) / 2)
+    """Average rank of peers, by way of distinct values; null values rank as null."""
+    keys = [by]
+    per = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    ranged = with_ranges(per, keys, value)
+    inner = Window.partitionBy(by, "_q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = ranged.groupBy(by, "_q").agg(F.sum("_c").alias("_own"))
+    before = sizes.withColumn("_before", F.sum("_own").over(Window.partitionBy(by).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))).drop("_own")
+    upto = F.sum("_c").over(inner)
+    ranks = ranged.withColumn("_u", upto).join(before, [by, "_q"])
+    ranks = ranks.select(by, value, (F.coalesce("_before", F.lit(0)) + F.col("_u") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out))
+    return rows.join(ranks, [by, value], "left").select(*rows.columns, out)
 
 
 def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    ranked = rank_with_ties(rank_with_ties(rows, by, a, "_ra"), by, b, "_rb")
-    return ranked.groupBy(by).agg(F.corr("_ra", "_rb").alias("rho"))
+    """Pearson correlation of average ranks; a group with all values of a side tied raises, and is named."""
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = rank_with_ties(rank_with_ties(pairs, by, a, "_ra"), by, b, "_rb")
+    flat = F.raise_error(F.concat(F.lit("ranks without variance in group "), F.col(by).cast("string"))).cast("double")
+    out = ranked.groupBy(by).agg(F.max("_ra").alias("_a"), F.min("_ra").alias("_b"), F.max("_rb").alias("_c"), F.min("_rb").alias("_d"), F.try_divide(F.covar_pop("_ra", "_rb"), F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))).alias("_r"))
+    return out.select(by, F.when((F.col("_a") == F.col("_b")) | (F.col("_c") == F.col("_d")), flat).otherwise(F.col("_r")).alias("rho"))
+
+
+def order_by_score(rows: DataFrame, by: str, score: str, index: str) -> DataFrame:
+    """Stable ascending order: position from 0 by score, then index."""
+    return _numbered(rows, [by], score, index).withColumn("position", F.col("_r") - 1).drop("_r", "_m", "_q")
 
 
 def latest_state(log: DataFrame, key: str, position: str) -> DataFrame:
-    """The last line of each key of an append-only log."""
-    w = Window.partitionBy(key).orderBy(F.desc(position))
-    return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last line of each key of an append-only log, by aggregation."""
+    return log.groupBy(key).agg(F.max_by(F.struct(*log.columns), position).alias("_r")).select("_r.*")
 
 
 def retain(rows: DataFrame, keys: list[str], order: str, keep: int) -> DataFrame:

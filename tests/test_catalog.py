@@ -11,7 +11,7 @@ from poolstat import catalog
 from poolstat.operators.vectors import average_linkage, cluster_count, distance_matrix
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
