@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import space_words
+from .common import space_words, written
 from .sharding import split_counts
 
-BLOCK_DOCS, MAX_SOURCES = 4096, 100_000
+BLOCK_DOCS, MAX_SOURCES, MAX_BLOCKS = 4096, 100_000, 1 << 16
 
 
 def targets(sizes: list[float], weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -77,33 +77,47 @@ def block_copies(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def source_blocks(docs: DataFrame, seed: int) -> DataFrame:
-    """Each row of docs (as `row`) with its size, its source's size and target, and its hash block."""
+    """Each row of docs (as `row`) with its size, its source's number and its hash block; a source has blocks by its row count."""
     spark = docs.sparkSession
     d = docs.select(
-        F.struct("*").alias("row"), "doc_id", F.size(space_words(F.col("text"))).cast("long").alias("size"), "source",
+        F.struct("*").alias("row"), "doc_id", F.size(space_words(F.col("text"))).cast("long").alias("size"), F.col("source").alias("_src"),
         F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))).alias("h"),
     )
-    per = d.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    per = docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     per = sorted(per, key=lambda r: (r.source is None, (r.source or "").encode()))
-    goal = targets([r.s for r in per])
-    known = [(r.source, r.s, goal[i], i, max(16, -(-r.n // BLOCK_DOCS))) for i, r in enumerate(per)]
-    facts = spark.createDataFrame(known, "src string, source_size bigint, target double, sid int, blocks int")
-    b = d.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("src")))
-    return b.withColumn("block", F.pmod("h", F.col("blocks")).cast("int")).drop("source", "src", "blocks")
+    wanted = [max(16, -(-r["count"] // BLOCK_DOCS)) for r in per]
+    share = min(1.0, MAX_BLOCKS / max(1, sum(wanted)))
+    known = [(r.source, i, max(1, int(n * share))) for i, (r, n) in enumerate(zip(per, wanted))]
+    facts = spark.createDataFrame(known, "src string, sid int, blocks int")
+    b = d.join(F.broadcast(facts), F.col("_src").eqNullSafe(F.col("src")))
+    return b.withColumn("block", F.pmod("h", F.col("blocks")).cast("int")).drop("_src", "src", "blocks")
+
+
+def block_sizes(rows: DataFrame) -> DataFrame:
+    """rows of source_blocks -> sid, block, words, source_size, target."""
+    sums = written(rows.groupBy("sid", "block").agg(F.sum("size").alias("words")))
+    per = sorted((r.sid, r.s) for r in sums.groupBy("sid").agg(F.sum("words").alias("s")).collect())
+    goal = targets([s for _, s in per])
+    facts = rows.sparkSession.createDataFrame([(i, s, g) for (i, s), g in zip(per, goal)], "sid int, source_size bigint, target double")
+    return sums.join(F.broadcast(facts), "sid")
 
 
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 2) -> DataFrame:
-    """row (all of a document's columns), doc_id, size, source_size, target, taken, mix_shards (the shard of each copy taken, whole or in part), mix_rank."""
+    """row (all of a document's columns), doc_id, size, source_size, target, taken, mix_shards (the shard of each copy taken, whole or in part), mix_rank.
+
+    The table of blocks has at most MAX_BLOCKS rows and one for each source more, so it is broadcast and no text is
+    shuffled but those of each source's one block that is taken in part.
+    """
     b = source_blocks(docs, seed)
-    held = block_copies(b.groupBy("sid", "block", "source_size", "target").agg(F.sum("size").alias("words")), shards, seed)
+    sums = block_sizes(b)
+    held = written(block_copies(sums, shards, seed).join(sums.select("sid", "block", "source_size", "target"), ["sid", "block"]))
     edge = F.col("extra").between(F.lit(1), F.col("words") - 1)
-    full = b.join(held, ["sid", "block"])
     copies = F.size("held")
-    plain = full.where(~edge).withColumn("part", F.lit(0).cast("long")).withColumn("whole", copies)
+    plain = b.join(F.broadcast(held.where(~edge)), ["sid", "block"]).withColumn("part", F.lit(0).cast("long")).withColumn("whole", copies)
     within = Window.partitionBy("sid", "block").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    part = full.where(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.coalesce(F.sum("size").over(within), F.lit(0))))).withColumn("whole", copies - 1)
+    part = b.join(F.broadcast(held.where(edge)), ["sid", "block"]).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.coalesce(F.sum("size").over(within), F.lit(0))))).withColumn("whole", copies - 1)
     n = F.when(F.col("size") > 0, F.col("whole") + (F.col("part") > 0).cast("int")).otherwise(0)
     return plain.unionByName(part).select(
         "row", "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
@@ -121,4 +135,5 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Rows carry their own columns through the mix, so null and repeated doc_ids are taken like any other.
     """
-    return mixed_rows(docs).select("row.*", F.explode("mix_shards").alias("mix_shard"))
+    out = mixed_rows(docs.drop("mix_shard"))
+    return out.select("row.*", F.explode("mix_shards").alias("mix_shard"))
