@@ -2,12 +2,17 @@
 
 Legal: an optional system turn, then user and assistant in turn, user first, assistant last.
 A turn may merge into the one before it (same final role), be relabelled, or follow an empty insertion.
-Defined results: null or unknown roles cost a relabel to anything; null text renders empty; null conv_id
-is a conversation of its own; ties go to the earlier option; repeated rows are turns of their own.
+Control marks inside a text are escaped with a backslash (`unescaped` takes it away), so no text can open a turn.
+
+Defined results: null or unknown roles cost a relabel to anything; null text renders empty; every row with a null
+conv_id is a conversation of its own; ties go to the earlier option; repeated rows are turns of their own; turns are
+ordered by turn, role, text, nulls first; an empty table gives no rows; other columns are ignored. A conversation is
+rendered whole, so one task holds it and its text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,15 +54,23 @@ def repair(roles: list[str | None]) -> tuple[int, list[tuple[str, bool, list[str
     return total, out[::-1]
 
 
+def escaped(text: str | None) -> str:
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text or "")
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def render(roles: list[str | None], texts: list[str | None]) -> tuple[int, str, str]:
     cost, plan = repair(roles)
     turns: list[list] = []
     for (role, merged, added), text in zip(plan, texts):
         turns += [[a, []] for a in added]
         if merged:
-            turns[-1][1].append(text or "")
+            turns[-1][1].append(escaped(text))
         else:
-            turns.append([role, [text or ""]])
+            turns.append([role, [escaped(text)]])
     while turns and turns[-1][0] != "assistant":
         turns.append([NEXT[turns[-1][0]][0], []])
     body = "".join(f"<|{r}|>\n" + "\n".join(t) + "<|end|>\n" for r, t in turns)
@@ -81,8 +94,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
             return sum(map(len, (x for x in texts if x)))
 
         for part in parts:
-            for c, r, t in zip(part["conv_id"].astype(object), part["role"], part["text"]):
-                k = (None if pd.isna(c) else int(c),)
+            for c, own, r, t in zip(part["conv_id"].astype(object), part["own"], part["role"], part["text"]):
+                k = (None if pd.isna(c) else int(c), own)
                 if k != key:
                     held += close()
                     key, roles, texts = k, [], []
@@ -95,5 +108,6 @@ def format_chats(turns: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=schema_names).astype({"conv_id": "Int64"})
 
     schema_names = ["conv_id", "n_turns", "cost", "roles", "rendered"]
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, schema)
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)  # rows without a conversation are dealt apart
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), own.alias("own"), "turn", "role", "text")
+    return rows.repartition("conv_id", "own").sortWithinPartitions("conv_id", "own", "turn", "role", "text").mapInPandas(run, schema)

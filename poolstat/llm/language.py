@@ -1,8 +1,11 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes a text smallest.
 
-Dictionaries come from a bounded sample (DICT_BYTES of text for each language, SAMPLE_DOCS documents).
+Dictionaries come from a bounded sample: SAMPLE_DOCS documents of each language by hash, and of each a piece of
+SAMPLE_CHARS characters (more where a language has fewer documents) at a hashed place anywhere in its text. Every text is classified whole.
 Defined results: null texts and texts without a letter are `und`, score 0, rejected; with no learned
-language everything is `und`; texts whose margin is under MARGIN are rejected but keep their best guess.
+language everything is `und`; texts whose margin is under MARGIN are rejected but keep their best guess; of equally
+small languages the first by name is taken; repeated rows are judged alike; an empty table gives no rows; columns
+lang_pred, score and rejected of the input are replaced by `identify`, all columns are kept by `keep_known`.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DICT_BYTES, SAMPLE_DOCS, PIECE, LEVEL, MARGIN = 96_000, 400, 4096, 3, 0.004
+DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, PIECE, LEVEL, MARGIN = 96_000, 400, 240, 4096, 3, 0.004
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -26,11 +29,13 @@ def held_out(parts: int, which: int):
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """SAMPLE_DOCS training texts of each language, by hash order, up to DICT_BYTES together."""
     rows = docs.where(~held_out(5, 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # crc order in each language is a sample that reruns repeat; a first limit by hash keeps the windows small
-    piece = F.substring("text", 1, DICT_BYTES // SAMPLE_DOCS * 4)
-    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id", "lang").alias("h"), piece.alias("t"))
+    # hash order in each language is a sample that reruns repeat; a first limit by hash keeps the windows small
     share = rows.groupBy("lang").count().withColumn("cut", F.lit(2.0 * SAMPLE_DOCS) / F.col("count"))
-    sample = rows.join(F.broadcast(share), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("cut"))
+    chars = F.greatest(F.lit(SAMPLE_CHARS), F.ceil(DICT_BYTES / F.least(F.col("count"), F.lit(SAMPLE_DOCS)))).cast("int")
+    hashed = rows.select("lang", "doc_id", F.xxhash64("doc_id", "lang").alias("h"), "text")
+    sample = hashed.join(F.broadcast(share), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("cut"))
+    place = 1 + F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.greatest(F.lit(1), F.length("text") - chars + 1))
+    sample = sample.select("lang", "doc_id", "h", F.substring("text", place, chars).alias("t"))
     ranked = sample.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))).where(F.col("r") <= SAMPLE_DOCS)
     out: dict[str, bytes] = {}
     for r in ranked.select("lang", "t", "r").orderBy("lang", "r").collect():
@@ -61,7 +66,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> D
             out.append((sizes[0][1], min(1.0, margin * 5), margin < MARGIN))
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_g", guess("text")).select(*docs.columns, F.col("_g.lang_pred").alias("lang_pred"), F.col("_g.score").alias("score"), F.col("_g.rejected").alias("rejected"))
+    rest = docs.drop("lang_pred", "score", "rejected")
+    return rest.select(F.struct("*").alias("row"), guess("text").alias("g")).select("row.*", "g.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -70,5 +76,6 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
-    return identify(docs).where("not rejected").select(docs.columns)
+    """Pipeline stage: documents that the classifier rejects go; the others keep all their columns."""
+    whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return identify(whole, learn(docs)).where("not rejected").select("row.*")

@@ -1,8 +1,6 @@
 """Queries of this subpackage: one opN_<name> for each operator, and the pipeline."""
 
-import corpus_pipeline
-
-from . import chat, decontaminate, embeddings, language, licenses, minhash, mixing, sharding, toxicity, urls
+from . import chat, decontaminate, embeddings, language, licenses, minhash, mixing, pipeline, sharding, toxicity, urls
 from .common import table
 
 
@@ -18,7 +16,7 @@ def queries():
         "op8_chat": lambda s, d: chat.format_chats(table(s, d, "conversations")),
         "op9_minhash_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents"), width=3, percent=85),
         "op10_sharding": lambda s, d: sharding.op10(table(s, d, "documents")),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -2,8 +2,9 @@
 
 Rows fall into blocks by hash; a matrix of exact block-to-shard counts is drawn (its row sums
 are the block sizes, its column sums the shard sizes); each block is permuted and cut by its
-matrix row; each shard is permuted again. Defined results: null text has size 1 and null crc;
-rows that are equal in doc_id, text, source and lang are interchangeable; an empty table gives no rows.
+matrix row; each shard is permuted again. Blocks are at most MAX_BLOCKS, so the matrix that the driver draws is of
+bounded size. Defined results: null text has size 1 and null crc; rows that are equal in doc_id, text, source and lang
+are interchangeable and fall into one block; an empty table gives no rows; columns shard and slot of the input are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_ROWS = 100_000
+#: rows in sixteen blocks while there are few; blocks at most, so that the matrix is of bounded size
+BLOCK_ROWS, MAX_BLOCKS = 100_000, 2048
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -75,11 +77,14 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 10) -> DataFrame:
     Carries the columns it is given through two exchanges: give it ids, and join texts on them.
     """
     spark = docs.sparkSession
-    own = [c for c in ("doc_id", "text_crc32", "size", "source", "lang") if c in docs.columns]
+    docs = docs.drop("shard", "slot")
+    names = [c for c in ("doc_id", "text_crc32", "size", "source", "lang") if c in docs.columns]
+    own = [f"_row.{c}" for c in names]
     n = docs.count()
-    parts = max(1, math.ceil(n / BLOCK_ROWS)) * 16
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(seed), *own)).withColumn("_b", F.pmod("_h", F.lit(parts)).cast("int"))
-    sizes = dict(keyed.groupBy("_b").count().collect())  # one number per block, a sixteenth of 100,000 rows each
+    parts = min(MAX_BLOCKS, max(1, math.ceil(n / BLOCK_ROWS)) * 16)
+    whole = docs.select(F.struct("*").alias("_row"))
+    keyed = whole.withColumn("_h", F.xxhash64(F.lit(seed), *own)).withColumn("_b", F.pmod("_h", F.lit(parts)).cast("int"))
+    sizes = dict(keyed.groupBy("_b").count().collect())  # one number per block, MAX_BLOCKS at most
     drawn = matrix(seed, [sizes.get(b, 0) for b in range(parts)], shards)
     bounds = spark.createDataFrame(
         [(b, [sum(row[: s + 1]) for s in range(shards)]) for b, row in enumerate(drawn)], "_b int, _cut array<bigint>"
@@ -99,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 10) -> DataFrame:
     return (
         placed.withColumn("_r", F.row_number().over(inner)).join(before, ["shard", "_q"])
         .withColumn("slot", F.col("_o") + F.col("_r") - 1)
-        .select(*docs.columns, "shard", "slot")
+        .select("_row.*", "shard", "slot")
     )
 
 
