@@ -7,7 +7,7 @@ from poolstat.operators import aggregates as A
 from poolstat.operators import joins as J
 from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
-from poolstat.plans import judges, money, statistics, store, texts
+from poolstat.plans import judges, money, records, statistics, store, texts
 from poolstat.sources.tables import cells, table
 
 CELLS = "(select l_returnflag arm, l_suppkey % 12 brief, l_linenumber replicate, l_quantity response, l_extendedprice / 1000 as cost from lineitem)"
@@ -99,13 +99,13 @@ CATALOG = {
     ),
     "distinct_k": (lambda s, d: V.distinct_k(table(s, d, "embeddings"), "label", "embedding", 0.85), None),
     "rarefied_k": (lambda s, d: V.rarefied_k(table(s, d, "embeddings"), "label", "embedding", None, 0.85, order="vec_id"), None),
-    "mulberry32": (lambda s, d: table(s, d, "orders").select("o_orderkey", mulberry32(F.col("o_orderkey")).alias("draw")), None),
+    "mulberry32": (lambda s, d: table(s, d, "orders").select("o_orderkey", mulberry32(F.col("o_orderkey")).alias("draw")), f"select o_orderkey, u as draw from {statistics.draw_sql('orders', '0', 'o_orderkey')}"),
     "models_union": (lambda s, d: table(s, d, "customer").selectExpr("c_nationkey as k").union(table(s, d, "supplier").selectExpr("s_nationkey as k")).distinct(), "select c_nationkey k from customer union select s_nationkey from supplier"),
     "absent_arms": (lambda s, d: table(s, d, "part").selectExpr("p_size as k").subtract(table(s, d, "nation").selectExpr("n_nationkey as k")), "select p_size k from part except select n_nationkey from nation"),
 }
 
 
-ALL = CATALOG | money.QUERIES | store.QUERIES | statistics.QUERIES | judges.QUERIES | texts.QUERIES
+ALL = CATALOG | money.QUERIES | store.QUERIES | statistics.QUERIES | judges.QUERIES | texts.QUERIES | records.QUERIES
 
 
 def queries():

@@ -51,8 +51,9 @@ def pooled_within_cell_variance(cells: DataFrame) -> DataFrame:
 
 
 def anova_means(cells: DataFrame) -> DataFrame:
-    """Cell, arm, brief and grand means in one pass."""
-    return cells.cube("arm", "brief").agg(F.count("*").alias("n"), F.avg("response").alias("mean"))
+    """Cell, arm, brief and grand means: rows are summed by cell first, the cube adds up cells."""
+    own = cells.groupBy("arm", "brief").agg(F.count("*").alias("_n"), F.sum("response").alias("_t"), F.count("response").alias("_m"))
+    return own.cube("arm", "brief").agg(F.sum("_n").alias("n"), (F.sum("_t") / F.sum("_m")).alias("mean"))
 
 
 def over_retention(rows: DataFrame, keys: list[str], most: int) -> DataFrame:

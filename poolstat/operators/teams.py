@@ -41,10 +41,9 @@ def rounds(limit: Column, sharing: Column) -> Column:
 
 
 def resolved_models(slots: Column) -> Column:
-    """Map of persona to model; a repeated persona gets #n from its second place on."""
-    keyed = F.transform(slots, lambda s, i: F.struct(
-        F.concat(s["persona"], F.when(F.size(F.filter(F.slice(slots, 1, i + 1), lambda t: t["persona"] == s["persona"])) > 1, F.concat(F.lit("#"), F.size(F.filter(F.slice(slots, 1, i + 1), lambda t: t["persona"] == s["persona"])).cast("string"))).otherwise("")).alias("key"), s["model"].alias("value"),
-    ))
+    """Map of persona to model; a persona that came before gets #n, n the keys before it."""
+    before = lambda s, i: F.size(F.filter(F.slice(slots, 1, i), lambda t: t["persona"] == s["persona"])) > 0
+    keyed = F.transform(slots, lambda s, i: F.struct(F.concat(s["persona"], F.when((i > 0) & before(s, F.greatest(i, F.lit(1))), F.concat(F.lit("#"), i.cast("string"))).otherwise("")).alias("key"), s["model"].alias("value")))
     return F.map_from_entries(keyed)
 
 

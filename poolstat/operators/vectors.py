@@ -77,35 +77,59 @@ def distinct_k(vectors: DataFrame, pool: str, vector: str, threshold: float) ->
     return vectors.select(pool, vector).groupBy(pool).applyInPandas(run, f"{pool} {kind}, n long, k long, collapse_rate double")
 
 
+def threshold_components(near: np.ndarray) -> list[np.ndarray]:
+    """Connected parts of a symmetric boolean matrix, singles left out."""
+    left, out = near.any(axis=1), []
+    while left.any():
+        part = np.zeros(len(near), dtype=bool)
+        edge = part.copy()
+        edge[int(left.argmax())] = True
+        while edge.any():
+            part |= edge
+            edge = near[edge].any(axis=0) & ~part
+        left &= ~part
+        if part.sum() > 1:
+            out.append(np.flatnonzero(part))
+    return out
+
+
 def merge_heights(d: np.ndarray, stop: float) -> list[float]:
-    """Heights under `stop` of average_linkage's merges, in order; each row's nearest later row is kept.
+    """Heights under `stop` of average_linkage's merges.
 
-    Average linkage never goes down, so the clusters at a threshold are as many as there are points less the heights under it.
+    Clusters never reach across parts that no distance under `stop` joins, so each part is merged by itself, in place:
+    a merged cluster takes its first member's row, each row knows its nearest later one. Average linkage never goes
+    down, so the clusters at a threshold are as many as there are points less the heights under it.
     """
-    n, heights = len(d), []
-    x = np.full((2 * n, 2 * n), np.inf)
-    x[:n, :n] = np.where(np.triu(np.ones(d.shape, dtype=bool), 1), d, np.inf)
-    size, alive = np.ones(2 * n), np.arange(2 * n) < n
-    nearest = x.argmin(axis=1)
-    least = x[np.arange(2 * n), nearest]
-    for new in range(n, 2 * n - 1):
-        i = int(least.argmin())
-        j = int(nearest[i])
-        if least[i] >= stop:
-            break
-        heights.append(float(least[i]))
-        alive[[i, j]] = False
-        keep = np.flatnonzero(alive[:new])
-        both = (size[i] * np.minimum(x[i, keep], x[keep, i]) + size[j] * np.minimum(x[j, keep], x[keep, j])) / (size[i] + size[j])
-        size[new], alive[new] = size[i] + size[j], True
-        x[[i, j]], x[:, [i, j]] = np.inf, np.inf
-        x[keep, new] = both
-        least[[i, j]] = np.inf
-        again = keep[(nearest[keep] == i) | (nearest[keep] == j)]
-        nearest[again] = x[again].argmin(axis=1)
-        least[again] = x[again, nearest[again]]
-        closer = both < least[keep]
-        nearest[keep[closer]], least[keep[closer]] = new, both[closer]
+    heights: list[float] = []
+    near = d < stop
+    np.fill_diagonal(near, False)
+    for part in threshold_components(near):
+        x = d[np.ix_(part, part)].astype(float)
+        n = len(x)
+        x[np.tril_indices(n)] = np.inf  # the upper triangle holds the distances
+        size, alive, rows = np.ones(n), np.ones(n, dtype=bool), np.arange(n)
+        nearest = x.argmin(axis=1)
+        least = x[rows, nearest]
+        while True:
+            i = int(least.argmin())
+            if least[i] >= stop:
+                break
+            j = int(nearest[i])
+            heights.append(float(least[i]))
+            alive[[i, j]] = False
+            keep = np.flatnonzero(alive)
+            both = (size[i] * np.minimum(x[i, keep], x[keep, i]) + size[j] * np.minimum(x[j, keep], x[keep, j])) / (size[i] + size[j])
+            size[i] += size[j]
+            x[j], x[:, j], x[i], x[:, i] = np.inf, np.inf, np.inf, np.inf
+            lower = keep < i
+            x[keep[lower], i], x[i, keep[~lower]] = both[lower], both[~lower]
+            alive[i] = True
+            least[j] = np.inf
+            again = np.append(keep[(nearest[keep] == i) | (nearest[keep] == j)], i)
+            nearest[again] = x[again].argmin(axis=1)
+            least[again] = x[again, nearest[again]]
+            closer = keep[lower][both[lower] < least[keep[lower]]]
+            nearest[closer], least[closer] = i, x[closer, i]
     return heights
 
 
