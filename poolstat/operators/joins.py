@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import with_ranges
+from .windows import large_groups, with_ranges
 
 
 def plan_cells(arms: DataFrame, briefs: DataFrame, replicates: int) -> DataFrame:
@@ -38,11 +38,17 @@ def on_frontier(points: DataFrame, cost: str, value: str) -> DataFrame:
 
     Costs are reduced to their best value; ranges of costs (`with_ranges`) carry the best of the ranges before them.
     """
-    best = with_ranges(points.groupBy(cost).agg(F.max(value).alias("_best")), [], cost)
-    local = F.max("_best").over(Window.partitionBy("_q").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    tops = best.groupBy("_q").agg(F.max("_best").alias("_top"))  # one row a range
-    before = tops.withColumn("_lower", F.max("_top").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
-    front = best.withColumn("_prior", local).join(F.broadcast(before), "_q").withColumn("_prior", F.greatest("_prior", "_lower")).drop("_q", "_lower")
+    best = points.groupBy(cost).agg(F.max(value).alias("_best"))
+    earlier = (Window.unboundedPreceding, -1)
+    large = large_groups(best, [])
+    if large:
+        best = with_ranges(best, [], cost, large)
+        tops = best.groupBy("_q").agg(F.max("_best").alias("_top"))  # one row a range
+        lower = tops.withColumn("_lower", F.max("_top").over(Window.orderBy("_q").rowsBetween(*earlier))).drop("_top")
+        local = best.withColumn("_prior", F.max("_best").over(Window.partitionBy("_q").orderBy(cost).rowsBetween(*earlier)))
+        front = local.join(F.broadcast(lower), "_q").withColumn("_prior", F.greatest("_prior", "_lower")).drop("_q", "_lower")
+    else:
+        front = best.withColumn("_prior", F.max("_best").over(Window.orderBy(cost).rowsBetween(*earlier)))  # SPLIT_ROWS at most
     return points.join(front, cost).withColumn("on_frontier", (F.col(value) == F.col("_best")) & (F.col("_prior").isNull() | (F.col("_best") > F.col("_prior")))).drop("_best", "_prior")
 
 

@@ -14,11 +14,13 @@ from poolstat.errors import check
 SPLIT_ROWS, RANGES = 2_000_000, 64
 
 
-def with_ranges(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+def large_groups(rows: DataFrame, by: list[str]) -> list:
+    """Keys of groups over SPLIT_ROWS rows: at most rows / SPLIT_ROWS of them."""
+    return rows.groupBy(*by).count().where(F.col("count") > SPLIT_ROWS).drop("count").collect()
+
+
+def with_ranges(rows: DataFrame, by: list[str], value: str, large: list) -> DataFrame:
     """rows with `_q`, the number of their value's range within a large group (0 in others)."""
-    large = [r for r in rows.groupBy(*by).count().where(F.col("count") > SPLIT_ROWS).drop("count").collect()]  # at most rows / SPLIT_ROWS
-    if not large:
-        return rows.withColumn("_q", F.lit(0))
     if by:
         keys = rows.sparkSession.createDataFrame(large, rows.select(*by).schema)
         own = rows.join(F.broadcast(keys), by, "left_semi")
@@ -30,11 +32,10 @@ def with_ranges(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return joined.withColumn("_q", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double"))), F.lit(0))).drop("_cuts")
 
 
-def _shifted(rows: DataFrame, by: list[str], what: Column, backward: bool = False) -> DataFrame:
-    """rows joined with `_before`: `what` over the ranges before their own (after it, if backward)."""
+def _shifted(rows: DataFrame, by: list[str], what: Column, combine, backward: bool = False) -> DataFrame:
+    """rows joined with `_before`: `what` combined over the ranges before their own (after it, if backward)."""
     per = rows.groupBy(*by, "_q").agg(what.alias("_own"))
     order = Window.partitionBy(*by).orderBy(F.desc("_q") if backward else "_q").rowsBetween(Window.unboundedPreceding, -1)
-    combine = F.sum if "count" in str(what) else (F.min if backward else F.max)
     return rows.join(per.withColumn("_before", combine("_own").over(order)).drop("_own"), [*by, "_q"])
 
 
@@ -49,39 +50,52 @@ def _p_values(p: DataFrame, by: list[str], value: str, family_size: int | None)
     return own
 
 
-def _numbered(p: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
-    """Adds `_r`, the place of a row in its group, and `_m`, the group's size."""
-    own = with_ranges(p, by, value)
-    own = _shifted(own, by, F.count("*")).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_q").orderBy(value, tie)) + F.coalesce("_before", F.lit(0)))
-    return own.drop("_before").join(p.groupBy(*by).agg(F.count("*").alias("_m")), by)
+def _numbered(p: DataFrame, by: list[str], value: str, tie: str) -> tuple[DataFrame, list]:
+    """rows with `_r`, the place of a row in its group, and `_m`, the group's size; and the large groups, if any."""
+    large = large_groups(p, by)
+    if not large:
+        w = Window.partitionBy(*by)
+        return p.withColumn("_r", F.row_number().over(w.orderBy(value, tie))).withColumn("_m", F.count("*").over(w)), large
+    own = with_ranges(p, by, value, large)
+    own = _shifted(own, by, F.count("*"), F.sum).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_q").orderBy(value, tie)) + F.coalesce("_before", F.lit(0)))
+    return own.drop("_before").join(p.groupBy(*by).agg(F.count("*").alias("_m")), by), large
+
+
+def _running(raw: DataFrame, large: list, by: list[str], name: str, backward: bool) -> DataFrame:
+    """`name`: the running maximum of `_a` by `_r`, or the minimum from the end."""
+    f, frame = (F.min, (0, Window.unboundedFollowing)) if backward else (F.max, (Window.unboundedPreceding, 0))
+    keys = [*by, "_q"] if large else by
+    out = raw.withColumn("_x", f("_a").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(*frame)))
+    if not large:
+        return out.withColumnRenamed("_x", name).drop("_r", "_m", "_a")
+    out = _shifted(out, by, f("_a"), f, backward)
+    pick = F.least if backward else F.greatest
+    return out.withColumn(name, pick("_x", F.coalesce("_before", "_x"))).drop("_r", "_m", "_a", "_x", "_q", "_before")
 
 
 def holm(p: DataFrame, by: str, value: str, tie: str, family_size: int | None = None) -> DataFrame:
     """Step-down adjustment: running maximum of (m - rank + 1) p, at most 1; null p-values do not count and get no row."""
-    keys = [by]
-    raw = _numbered(_p_values(p, keys, value, family_size), keys, value, tie).withColumn("_a", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(value)))
-    local = raw.withColumn("_x", F.max("_a").over(Window.partitionBy(by, "_q").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)))
-    return _shifted(local, keys, F.max("_a")).withColumn("holm", F.greatest("_x", F.coalesce("_before", "_x"))).drop("_r", "_m", "_a", "_x", "_q", "_before")
+    raw, large = _numbered(_p_values(p, [by], value, family_size), [by], value, tie)
+    return _running(raw.withColumn("_a", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(value))), large, [by], "holm", False)
 
 
 def benjamini_hochberg(p: DataFrame, by: str, value: str, tie: str) -> DataFrame:
     """Step-up adjustment: running minimum from the end of m p / rank, at most 1."""
-    keys = [by]
-    raw = _numbered(_p_values(p, keys, value, None), keys, value, tie).withColumn("_a", F.least(F.lit(1.0), F.col(value) * F.col("_m") / F.col("_r")))
-    local = raw.withColumn("_x", F.min("_a").over(Window.partitionBy(by, "_q").orderBy("_r").rowsBetween(0, Window.unboundedFollowing)))
-    return _shifted(local, keys, F.min("_a"), True).withColumn("bh", F.least("_x", F.coalesce("_before", "_x"))).drop("_r", "_m", "_a", "_x", "_q", "_before")
+    raw, large = _numbered(_p_values(p, [by], value, None), [by], value, tie)
+    return _running(raw.withColumn("_a", F.least(F.lit(1.0), F.col(value) * F.col("_m") / F.col("_r"))), large, [by], "bh", True)
 
 
 def rank_with_ties(rows: DataFrame, by: str, value: str, out: str = "rank_avg") -> DataFrame:
-    """Average rank of peers, by way of distinct values; null values rank as null."""
-    keys = [by]
-    per = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    ranged = with_ranges(per, keys, value)
-    inner = Window.partitionBy(by, "_q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = ranged.groupBy(by, "_q").agg(F.sum("_c").alias("_own"))
-    before = sizes.withColumn("_before", F.sum("_own").over(Window.partitionBy(by).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))).drop("_own")
-    upto = F.sum("_c").over(inner)
-    ranks = ranged.withColumn("_u", upto).join(before, [by, "_q"])
+    """Average rank of peers; null values rank as null. Large groups are ranked by way of their distinct values."""
+    keys, known = [by], F.col(value).isNotNull()
+    large = large_groups(rows, keys)
+    if not large:
+        peers = F.count(value).over(Window.partitionBy(by, value))
+        place = F.rank().over(Window.partitionBy(by).orderBy(F.asc_nulls_last(value)))
+        return rows.withColumn(out, F.when(known, place + (peers - 1) / 2))
+    ranged = with_ranges(rows.where(known).groupBy(by, value).agg(F.count("*").alias("_c")), keys, value, large)
+    upto = F.sum("_c").over(Window.partitionBy(by, "_q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = _shifted(ranged.withColumn("_u", upto), keys, F.sum("_c"), F.sum)
     ranks = ranks.select(by, value, (F.coalesce("_before", F.lit(0)) + F.col("_u") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out))
     return rows.join(ranks, [by, value], "left").select(*rows.columns, out)
 
@@ -97,7 +111,8 @@ def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
 
 def order_by_score(rows: DataFrame, by: str, score: str, index: str) -> DataFrame:
     """Stable ascending order: position from 0 by score, then index."""
-    return _numbered(rows, [by], score, index).withColumn("position", F.col("_r") - 1).drop("_r", "_m", "_q")
+    out, _ = _numbered(rows, [by], score, index)
+    return out.withColumn("position", F.col("_r") - 1).drop("_r", "_m", "_q")
 
 
 def latest_state(log: DataFrame, key: str, position: str) -> DataFrame:
