@@ -319,3 +319,50 @@ def test_index_log_stream(spark, tmp_path):
     log = index_log.first_of_key(index_log.read_log(spark, str(tmp_path / "in")))
     index_log.append_to(str(tmp_path / "out"), str(tmp_path / "cp"))(log).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_providers(spark):
+    from poolstat.sources import providers as PR
+
+    texts = spark.createDataFrame([("a",), ("bb",), ("a",), (None,)], "text string")
+    got = {r.text: r.vector for r in PR.embedded(texts, lambda ts: [(i, [float(len(t)), 0.0]) for i, t in reversed(list(enumerate(ts)))]).collect()}
+    assert got == {"a": [1.0, 0.0], "bb": [1.0, 0.0]}
+    for bad in ([(0, [0.0, 0.0])], [(0, [1.0]), (0, [1.0])], []):
+        with pytest.raises(PoolstatError):
+            PR.unit_rows(bad, 1)
+    waits, tries = [], iter([PR.Transient("busy", 7.0), PR.Transient("busy"), None])
+
+    def call():
+        e = next(tries)
+        if e:
+            raise e
+        return "done"
+
+    assert PR.with_retries(call, sleep=waits.append) == "done" and waits == [7.0, 2.0]
+    requests = spark.createDataFrame([(f"r{i}", "p") for i in range(5)], "custom_id string, prompt string")
+    replies = PR.asked(requests, lambda rs: [{"custom_id": r["custom_id"], "text": "t"} for r in rs if r["custom_id"] != "r3"], 2).collect()
+    assert {r.custom_id: r.error for r in replies} == {"r0": None, "r1": None, "r2": None, "r3": "transport_error", "r4": None}
+
+
+def test_stage_analysis(spark):
+    from poolstat.operators import stages
+
+    rng = np.random.default_rng(11)
+    rows, items = [], []
+    for a, spread in (("A", 0.2), ("B", 0.6), ("C", 1.5)):
+        for b in range(5):
+            key, x = f"arm={a}|brief=b{b}|rep=0|cfg=c", rng.normal(size=(8, 3)) * spread + [3.0, 0.0, 0.0]
+            k = float(len(V.average_linkage(V.distance_matrix(x), 0.02)))
+            rows.append((key, a, f"b{b}", 0, "c", "completed", None, None, (k,)))
+            items += [(key, i, [float(v) for v in row]) for i, row in enumerate(x)]
+    ledger = spark.createDataFrame([(r[0], "2026-01-01", "api", "single", "claude-1", 1e6, 1e5) for r in rows], "cell_key string, timestamp string, billing_mode string, pricing_regime string, model string, input_tokens double, output_tokens double")
+    frame = FR.build_frame(spark.createDataFrame(rows, RECORD), ledger, views.rates(spark), ["c"])
+    vectors = spark.createDataFrame(items, "key string, position int, vector array<double>")
+    contrasts = [("s-1", "B", None), ("s-2", "C", "B")]
+    stage = stages.analyse(frame, vectors, contrasts, "A", 0.02, rule={"A": "c"}, floor=8, rounds=2, iterations=50)
+    means = {r.arm: r.m for r in stage.rarefied.rows.groupBy("arm").agg(F.avg("response").alias("m")).collect()}
+    assert math.isclose(stage.results[0].estimate, means["B"] - means["A"], abs_tol=1e-6) and math.isclose(stage.results[1].estimate, means["C"] - means["B"], abs_tol=1e-6)
+    assert stage.ladder.rung in ("R0", "R1", "R2") and stage.frontier.count() == 3 and stage.ratios.count() == 3 and stage.dropped.count() == 0
+    assert "# Analysis" in reports.report(stage.frontier, stage.ladder, stage.results, stage.ratios, frame.excluded) and reports.pareto_svg(stage.frontier)
+    with pytest.raises(PoolstatError, match="floor"):
+        stages.analyse(frame, vectors, contrasts, "A", 0.02, rounds=2, iterations=5)
