@@ -114,8 +114,8 @@ QUERIES = {
         "select 'judge-validation|judge=j' || case when n_nationkey % 2 = 0 then '|req=q' else '' end || '|slice=' || n_name as key, 'dat@' || n_name phase0 from nation",
     ),
     "ideas_of_reviews": (
-        lambda s, d: S.ideas_of(table(s, d, "orders").selectExpr("cast(o_custkey as string) as idea_id", "cast(null as string) as condition", "'t' || (o_custkey % 3) as topic", "o_totalprice as score")).select("idea_id", "topic", "n", F.round("mean_score", 4).alias("mean_score")),
-        "select cast(o_custkey as varchar) idea_id, 't' || (o_custkey % 3) topic, count(*) n, round(avg(o_totalprice), 4) mean_score from orders group by 1, 2",
+        lambda s, d: S.ideas_of(table(s, d, "orders").selectExpr("cast(o_custkey as string) as idea_id", "cast(null as string) as condition", "'t' || (o_custkey % 3) as topic", "o_totalprice as score")).select("idea_id", "topic", "n", F.round("mean_score", 6).alias("mean_score")),
+        "select cast(o_custkey as varchar) idea_id, 't' || (o_custkey % 3) topic, count(*) n, round(avg(o_totalprice), 6) mean_score from orders group by 1, 2",
     ),
     "title_binding": (
         lambda s, d: S.bind_titles(
