@@ -1,9 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents fall into hash blocks; the quota of a source is a number of block
-copies, exact to the word at its last block. The tree splits the quotas among output shards;
-each shard draws its own disjoint run of the permuted blocks. Defined results: null or empty text
-has size 0 and takes 0; null source is a source of its own, ordered last; an empty table gives no rows.
+Each source's documents fall into hash blocks; the quota of a source is a number of block copies, exact to the word at
+its last block. The tree splits the quotas among output shards; each shard draws its own disjoint run of the permuted
+blocks. Sources are collected (MAX_SOURCES at most, more raise), blocks are MAX_BLOCKS at most.
+
+Defined results: null or empty text has size 0 and takes 0; null source is a source of its own, ordered last; a source
+whose texts are all empty has target 0; repeated rows fall into one block and are taken like any other rows, ties in a
+block going by doc_id and size; texts of any length count whole; null doc_ids are kept; an empty table gives no rows; a
+column mix_shard of the input is replaced. A document of which the mix takes a part is copied whole by the pipeline.
 """
 
 from __future__ import annotations
