@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, PIECE, LEVEL, MARGIN = 96_000, 400, 240, 4096, 3, 0.004
+DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS, PIECE, LEVEL, MARGIN = 96_000, 400, 240, 4096, 9, 0.004
 LETTER = regex.compile(r"\p{L}")
 
 
