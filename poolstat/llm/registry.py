@@ -1,6 +1,6 @@
 """Queries of this subpackage: one opN_<name> for each operator, and the pipeline."""
 
-from . import chat, decontaminate, embeddings, language, licenses, minhash, mixing, pipeline, sharding, toxicity, urls
+from . import chat, decontaminate, embeddings, language, licenses, manifest, minhash, mixing, pipeline, sharding, toxicity, urls
 from .common import table
 
 
@@ -16,9 +16,10 @@ def queries():
         "op8_chat": lambda s, d: chat.format_chats(table(s, d, "conversations")),
         "op9_minhash_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents"), width=3, percent=85),
         "op10_sharding": lambda s, d: sharding.op10(table(s, d, "documents")),
+        "op11_manifest": lambda s, d: manifest.op11(table(s, d, "documents")),
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op11_manifest": manifest.sql()}
