@@ -1,6 +1,6 @@
 """Queries of this subpackage: one opN_<name> for each operator, and the pipeline."""
 
-from . import chat, decontaminate, embeddings, language, licenses, manifest, minhash, mixing, pipeline, sharding, toxicity, urls
+from . import chat, decontaminate, embeddings, language, licenses, manifest, minhash, mixing, pipeline, search, sharding, toxicity, urls
 from .common import table
 
 
@@ -17,9 +17,10 @@ def queries():
         "op9_minhash_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents"), width=3, percent=85),
         "op10_sharding": lambda s, d: sharding.op10(table(s, d, "documents")),
         "op11_manifest": lambda s, d: manifest.op11(table(s, d, "documents")),
+        "op12_search": lambda s, d: search.search(table(s, d, "documents"), table(s, d, "benchmark")),
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op11_manifest": manifest.sql()}
+    return {"op11_manifest": manifest.sql(), "op12_search": search.SQL}
