@@ -1,6 +1,6 @@
 """Queries of this subpackage: one opN_<name> for each operator, and the pipeline."""
 
-from . import chat, decontaminate, embeddings, language, licenses, manifest, minhash, mixing, pipeline, search, sharding, toxicity, urls
+from . import chat, decontaminate, embeddings, language, licenses, manifest, minhash, mixing, pii, pipeline, search, sharding, toxicity, urls
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries():
         "op10_sharding": lambda s, d: sharding.op10(table(s, d, "documents")),
         "op11_manifest": lambda s, d: manifest.op11(table(s, d, "documents")),
         "op12_search": lambda s, d: search.search(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op13_pii": lambda s, d: pii.scan(table(s, d, "documents")),
         "pipeline": pipeline.run,
     }
 
