@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from poolstat.errors import MissingRate, check
 
+from .admission import admitted  # noqa: F401  the ceiling's gate is used with the prices here
+
 TOKENS = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
 MILLION = 1_000_000
 #: rates of more models than this are joined by shuffle
@@ -256,24 +258,3 @@ def require_rates(lines: DataFrame) -> DataFrame:
     lost = [r["model"] for r in lines.where("missing_rate").select("model").distinct().limit(20).collect()]
     check(not lost, f"models without a rate: {sorted(lost)}", MissingRate)
     return lines
-
-
-def admitted(plan: DataFrame, order: str, usd: str, ceiling: float, prior: float = 0.0) -> DataFrame:
-    """Spend admission in plan order: a cell that would pass the ceiling is skipped and takes no budget.
-
-    Each decision depends on all before it, so rows stream through one sorted task in constant memory.
-    """
-    schema = f"{plan._jdf.schema().toDDL()}, admitted boolean, spent double"
-
-    def run(parts):
-        spent = prior
-        for part in parts:
-            took, after = [], []
-            for x in part[usd]:
-                ok = spent + x <= ceiling
-                spent += x if ok else 0.0
-                took.append(ok)
-                after.append(spent)
-            yield part.assign(admitted=took, spent=after)
-
-    return plan.repartition(1).sortWithinPartitions(order).mapInPandas(run, schema)

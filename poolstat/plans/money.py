@@ -7,6 +7,14 @@ from poolstat.sources.tables import table
 
 from . import views as V
 
+#: every decision in turn, as a text of flags
+ADMISSION = """with o as (
+ select o_orderkey, o_totalprice, cast(o_totalprice as decimal(18, 6)) x, row_number() over (order by o_orderkey, o_totalprice) i from orders
+), run as (
+ select list_reduce(list_prepend({'spent': 500::decimal(18, 6), 'x': 0::decimal(18, 6), 'flags': ''}, list({'spent': 0::decimal(18, 6), 'x': x, 'flags': ''} order by i)),
+  lambda s, e: {'spent': (s.spent + case when s.spent + e.x <= 10000000 then e.x else 0 end)::decimal(18, 6), 'x': 0::decimal(18, 6), 'flags': s.flags || case when s.spent + e.x <= 10000000 then '1' else '0' end}).flags flags from o
+), told as (select o.*, flags[i] = '1' admitted from o, run)
+select o_orderkey, round(o_totalprice, 2) o_totalprice, admitted, round((500 + sum(case when admitted then x else 0 end) over (order by i))::double, 2) spent from told"""
 R = lambda c, n=6: f"round({c}, {n})"
 
 
@@ -117,5 +125,5 @@ QUERIES = {
         f"""select provider, round(usd, 4) usd, ceiling, usd > ceiling as over from (select provider, sum(usd) + case when provider = 'anthropic' then 100 else 0 end usd, case when provider = 'anthropic' then 50.0::double else 1e9::double end ceiling
  from (select {PROVIDER} provider, case when missing_rate then 0 else usd end usd from {V.LINES.format(batch='false')}) where provider is not null group by 1)""",
     ),
-    "spend_admission": (lambda s, d: rounded(P.admitted(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 1e7, 500.0), 2), None),
+    "spend_admission": (lambda s, d: rounded(P.admitted(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 1e7, 500.0), 2), ADMISSION),
 }

@@ -1,4 +1,9 @@
-"""Parquet tables, and the analysis views that stand in for stores and ledgers."""
+"""Parquet tables, the analysis views that stand in for stores and ledgers, and tables written between steps."""
+
+import atexit
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,3 +16,27 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_returnflag as arm", "l_suppkey % 12 as brief", "l_linenumber as replicate", "l_quantity as response", "l_extendedprice / 1000 as cost"
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own on a single machine, and a refusal on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="poolstat-")
+        atexit.register(shutil.rmtree, path, True)
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder, so that what is numbered or drawn stays as it is when a task is repeated."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if jvm := getattr(spark, "_jvm", None):  # goes with the session; a Connect session leaves it to the folder's owner
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
