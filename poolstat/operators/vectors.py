@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from poolstat.errors import check
 
-#: draws in a task; tasks at most; vectors of a pool, whose distances are a square matrix in one task
+from .clustering import counts, distance_matrix, labels, merged
+
+#: draws in a task; tasks at most; vectors of a pool that is rarefied, whose distances are a square matrix in one task
 BATCH, MAX_TASKS, MAX_POOL = 50, 2000, 10_000
 
 
@@ -34,134 +36,42 @@ def min_pool_size(vectors: DataFrame, pool: str) -> DataFrame:
     return vectors.groupBy(pool).count().agg(F.min("count").alias("n"))
 
 
-def distance_matrix(x: np.ndarray) -> np.ndarray:
-    """Cosine distances; a zero or non-finite vector is refused."""
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    check(bool(np.isfinite(norm).all() and (norm > 0).all()), "a pool holds a zero or non-finite vector")
-    u = x / norm
-    return 1 - u @ u.T
-
-
-def stacked(vectors) -> np.ndarray:
-    """A pool's vectors as a matrix; nulls and unlike lengths are refused, and pools over MAX_POOL."""
+def stacked(vectors) -> list:
+    """A pool's vectors for a square matrix in one task; pools over MAX_POOL are refused."""
     check(len(vectors) <= MAX_POOL, f"a pool of {len(vectors)} vectors is over {MAX_POOL}")
-    check(all(v is not None for v in vectors) and len({len(v) for v in vectors}) == 1, "a pool's vectors have one length and are not null")
-    return np.stack(list(vectors)).astype(float)
+    return list(vectors)
 
 
 def average_linkage(d: np.ndarray, threshold: float) -> list[list[int]]:
-    """Merge the closest pair (first in order on ties) until none is under the threshold; a merged cluster goes last."""
-    d, groups = d.copy(), [[i] for i in range(len(d))]
-    while len(groups) > 1:
-        masked = np.where(np.triu(np.ones(d.shape, dtype=bool), 1), d, np.inf)
-        i, j = divmod(int(masked.argmin()), len(groups))
-        if masked[i, j] >= threshold:
-            break
-        a, b = len(groups[i]), len(groups[j])
-        row = (a * d[i] + b * d[j]) / (a + b)
-        keep = [k for k in range(len(groups)) if k not in (i, j)]
-        d = np.pad(d[np.ix_(keep, keep)], (0, 1))
-        d[-1, :-1] = d[:-1, -1] = row[keep]
-        groups = [groups[k] for k in keep] + [groups[i] + groups[j]]
-    return groups
-
-
-def distinct_k(vectors: DataFrame, pool: str, vector: str, threshold: float) -> DataFrame:
-    """Semantic distinct count of each pool; a pool is one cell's items, which fit a task."""
-    kind = dict(vectors.dtypes)[pool]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        k = cluster_count(distance_matrix(stacked(g[vector].to_list())), threshold)
-        return pd.DataFrame({pool: [g[pool].iloc[0]], "n": [len(g)], "k": [k], "collapse_rate": [1 - k / len(g)]})
-
-    return vectors.select(pool, vector).groupBy(pool).applyInPandas(run, f"{pool} {kind}, n long, k long, collapse_rate double")
-
-
-def threshold_components(near: np.ndarray) -> list[np.ndarray]:
-    """Connected parts of a symmetric boolean matrix, singles left out."""
-    left, out = near.any(axis=1), []
-    while left.any():
-        part = np.zeros(len(near), dtype=bool)
-        edge = part.copy()
-        edge[int(left.argmax())] = True
-        while edge.any():
-            part |= edge
-            edge = near[edge].any(axis=0) & ~part
-        left &= ~part
-        if part.sum() > 1:
-            out.append(np.flatnonzero(part))
-    return out
+    """Merge the closest pair (first in order on ties; a merged cluster goes last) until none is under the threshold."""
+    return merged(d, threshold)[1]
 
 
 def merge_heights(d: np.ndarray, stop: float) -> list[float]:
-    """Heights under `stop` of average_linkage's merges.
-
-    Clusters never reach across parts that no distance under `stop` joins, so each part is merged by itself, in place:
-    a merged cluster takes its first member's row, each row knows its nearest later one. Average linkage never goes
-    down, so the clusters at a threshold are as many as there are points less the heights under it.
-    """
-    heights: list[float] = []
-    near = d < stop
-    np.fill_diagonal(near, False)
-    for part in threshold_components(near):
-        x = d[np.ix_(part, part)].astype(float)
-        n = len(x)
-        x[np.tril_indices(n)] = np.inf  # the upper triangle holds the distances
-        size, alive, rows = np.ones(n), np.ones(n, dtype=bool), np.arange(n)
-        nearest = x.argmin(axis=1)
-        least = x[rows, nearest]
-        while True:
-            i = int(least.argmin())
-            if least[i] >= stop:
-                break
-            j = int(nearest[i])
-            heights.append(float(least[i]))
-            alive[[i, j]] = False
-            keep = np.flatnonzero(alive)
-            both = (size[i] * np.minimum(x[i, keep], x[keep, i]) + size[j] * np.minimum(x[j, keep], x[keep, j])) / (size[i] + size[j])
-            size[i] += size[j]
-            x[j], x[:, j], x[i], x[:, i] = np.inf, np.inf, np.inf, np.inf
-            lower = keep < i
-            x[keep[lower], i], x[i, keep[~lower]] = both[lower], both[~lower]
-            alive[i] = True
-            least[j] = np.inf
-            again = np.append(keep[(nearest[keep] == i) | (nearest[keep] == j)], i)
-            nearest[again] = x[again].argmin(axis=1)
-            least[again] = x[again, nearest[again]]
-            closer = keep[lower][both[lower] < least[keep[lower]]]
-            nearest[closer], least[closer] = i, x[closer, i]
-    return heights
+    """Heights under `stop` of average_linkage's merges; it never goes down, so clusters are points less the heights under a cut."""
+    return merged(d, stop)[0]
 
 
 def cluster_count(d: np.ndarray, threshold: float) -> int:
     return len(d) - len(merge_heights(d, threshold))
 
 
-def clusters(vectors: DataFrame, pool: str, key: str, vector: str, threshold: float) -> DataFrame:
-    """pool, key, cluster: members in the order clusters are left by merging, each named by its smallest position."""
-    kinds = dict(vectors.dtypes)
+def distinct_k(vectors: DataFrame, pool: str, vector: str, threshold: float) -> DataFrame:
+    """Semantic distinct count of each pool, of any size."""
+    out = counts(vectors, pool, vector, [threshold])
+    return out.select(pool, "n", F.col("k0").alias("k"), (1 - F.col("k0") / F.col("n")).alias("collapse_rate"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(key, kind="stable")
-        label = np.empty(len(g), dtype=np.int64)
-        for n, members in enumerate(average_linkage(distance_matrix(stacked(g[vector].to_list())), threshold)):
-            label[members] = n
-        return pd.DataFrame({pool: g[pool].to_numpy(), key: g[key].to_numpy(), "cluster": label})
 
-    return vectors.select(pool, key, vector).groupBy(pool).applyInPandas(run, f"{pool} {kinds[pool]}, {key} {kinds[key]}, cluster long")
+def clusters(vectors: DataFrame, pool: str, key: str, vector: str, threshold: float) -> DataFrame:
+    """pool, key, cluster: the smallest key of the cluster's members; pools of any size."""
+    return labels(vectors, pool, key, vector, threshold)
 
 
 def sensitivity(vectors: DataFrame, pool: str, vector: str, threshold: float, band: float = 0.05) -> DataFrame:
-    """Distinct counts at the threshold and a band to each side (not under 0), from one dendrogram a pool."""
+    """Distinct counts at the threshold and a band to each side (not under 0), from one dendrogram a part."""
     check(threshold >= 0 and band >= 0, f"threshold {threshold} and band {band} must not be negative")
-    kind, cuts = dict(vectors.dtypes)[pool], (max(0.0, threshold - band), threshold, threshold + band)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        h = np.array(merge_heights(distance_matrix(stacked(g[vector].to_list())), cuts[2]))
-        low, base, high = (len(g) - int((h < c).sum()) for c in cuts)
-        return pd.DataFrame({pool: [g[pool].iloc[0]], "n": [len(g)], "k_low": [low], "k": [base], "k_high": [high]})
-
-    return vectors.select(pool, vector).groupBy(pool).applyInPandas(run, f"{pool} {kind}, n long, k_low long, k long, k_high long")
+    out = counts(vectors, pool, vector, [max(0.0, threshold - band), threshold, threshold + band])
+    return out.select(pool, "n", F.col("k0").alias("k_low"), F.col("k1").alias("k"), F.col("k2").alias("k_high"))
 
 
 def mulberry32_draws(seed: int, start: int, n: int) -> np.ndarray:
