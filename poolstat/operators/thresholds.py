@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from poolstat.errors import check
 
+from .prefix import running
+
 # The registered distance threshold and its sensitivity band, and the largest diversity of a pool of copies.
 REGISTERED_THRESHOLD = 0.23141118234233987
 BAND, DUPLICATE_DIVERSITY = 0.05, 0.05
@@ -52,18 +53,21 @@ def accuracy_at(pairs: DataFrame, distance: str, label: str, threshold: float, *
 def select_threshold(pairs: DataFrame, distance: str, label: str, *by: str) -> DataFrame:
     """The middle of the widest run of best thresholds (the first on ties), of midpoints between distinct distances.
 
-    Distances are first reduced to distinct values with counts; running counts give each midpoint's accuracy.
+    Distances are first reduced to distinct values with counts; running counts give each midpoint's accuracy, and running
+    numbers the islands of best ones. Both go by ranges of values, so a group of any size is spread over tasks.
     """
     per = pairs.groupBy(*by, F.col(distance).alias("_d")).agg(F.count_if(F.col(label) == "same").alias("_s"), F.count_if(F.col(label) != "same").alias("_o"))
-    group = Window.partitionBy(*by)
-    order = group.orderBy("_d")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumn("_t", (F.col("_d") + F.lead("_d").over(order)) / 2)
-    run = run.withColumn("_tp", F.sum("_s").over(upto)).withColumn("_fp", F.sum("_o").over(upto)).withColumn("_ns", F.sum("_s").over(group)).withColumn("_no", F.sum("_o").over(group))
-    ba = (F.col("_tp") / F.nullif("_ns", F.lit(0)) + (F.col("_no") - F.col("_fp")) / F.nullif("_no", F.lit(0))) / 2
-    run = run.withColumn("_ba", ba).where("_t is not null")
-    run = run.withColumn("_best", F.max("_ba").over(group)).withColumn("_i", F.row_number().over(group.orderBy("_t")))
-    best = run.where(F.abs(F.col("_ba") - F.col("_best")) < 1e-9).withColumn("_island", F.col("_i") - F.row_number().over(group.orderBy("_t")))
+    keys = list(by)
+    run = running(per, keys, ["_d"], {"_tp": F.col("_s"), "_fp": F.col("_o"), "_i": F.lit(1)}, {"_next": "_d"})
+    ba = (F.col("_tp") / F.nullif("_tp_all", F.lit(0)) + (F.col("_fp_all") - F.col("_fp")) / F.nullif("_fp_all", F.lit(0))) / 2
+    run = run.select(*keys, ((F.col("_d") + F.col("_next")) / 2).alias("_t"), ba.alias("_ba"), "_i").where("_t is not null")
+    most = run.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)]).agg(F.max("_ba").alias("_best"))
+    of = F.lit(True)
+    for i, c in enumerate(keys):
+        of = of & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    best = run.join(most, of) if keys else run.crossJoin(F.broadcast(most))  # one row
+    best = running(best.where(F.abs(F.col("_ba") - F.col("_best")) < 1e-9).select(*keys, "_t", "_best", "_i"), keys, ["_t"], {"_k": F.lit(1)})
+    best = best.withColumn("_island", F.col("_i") - F.col("_k"))
     spans = best.groupBy(*by, "_island").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.max("_best").alias("balanced_accuracy"))
     widest = F.max_by(F.struct("_a", "_b", "balanced_accuracy"), F.struct(F.col("_b") - F.col("_a"), -F.col("_a")))
     return spans.groupBy(*by).agg(widest.alias("_w")).select(*by, ((F.col("_w._a") + F.col("_w._b")) / 2).alias("threshold"), F.col("_w.balanced_accuracy"))

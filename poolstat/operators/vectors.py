@@ -16,19 +16,16 @@ BATCH, MAX_TASKS, MAX_POOL = 50, 2000, 10_000
 def pool_diversity(vectors: DataFrame, pool: str, vector: str) -> DataFrame:
     """Mean pairwise cosine distance by the closed form 1 - (|sum u|^2 - n) / (n (n - 1)); no pairs are made.
 
-    Unit vectors are summed by element in one aggregation; a null, zero or odd-sized vector raises; pools of one give no row.
+    Unit vectors are summed by element, first in each task, so the plan is as small at any dimension; a null, zero or odd-sized vector raises; pools of one give no row.
     """
-    first = vectors.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
-    d = first["d"] if first else 0
     v = F.col(vector).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    bad = F.col(vector).isNull() | (F.size(vector) != d) | F.coalesce(norm == 0, F.lit(True))
-    unit = vectors.select(pool, F.when(bad, F.raise_error(F.lit("a pool's vectors have one length and are not zero")).cast("array<double>")).otherwise(F.transform(v, lambda x: x / norm)).alias("_u"))
-    sums = unit.groupBy(pool).agg(F.count("*").alias("n"), *[F.sum(F.get("_u", F.lit(k))).alias(f"_{k}") for k in range(d)]).where("n >= 2")
-    square = F.lit(0.0)
-    for k in range(d):
-        square = square + F.col(f"_{k}") * F.col(f"_{k}")
-    return sums.select(pool, "n", (1 - (square - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("diversity"))
+    alike = F.lit("a pool's vectors have one length and are not zero")
+    unit = F.when(F.col(vector).isNull() | F.coalesce(norm == 0, F.lit(True)), F.raise_error(alike).cast("array<double>")).otherwise(F.transform(v, lambda x: x / norm))
+    sums = vectors.select(pool, F.posexplode(unit).alias("_k", "_x")).groupBy(pool, "_k").agg(F.sum("_x").alias("_s"), F.count("*").alias("_c"))
+    out = sums.groupBy(pool).agg(F.max("_c").alias("n"), F.min("_c").alias("_least"), F.sum(F.col("_s") * F.col("_s")).alias("_square")).where("n >= 2")
+    n = F.when(F.col("_least") != F.col("n"), F.raise_error(alike).cast("long")).otherwise(F.col("n"))
+    return out.select(pool, n.alias("n"), "_square").select(pool, "n", (1 - (F.col("_square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("diversity"))
 
 
 def min_pool_size(vectors: DataFrame, pool: str) -> DataFrame:

@@ -15,7 +15,9 @@ SPLIT_ROWS, RANGES = 2_000_000, 64
 
 
 def large_groups(rows: DataFrame, by: list[str]) -> list:
-    """Keys of groups over SPLIT_ROWS rows: at most rows / SPLIT_ROWS of them."""
+    """Keys of groups over SPLIT_ROWS rows: at most rows / SPLIT_ROWS of them. A table under that has none, and is only counted."""
+    if rows.limit(SPLIT_ROWS + 1).count() <= SPLIT_ROWS:
+        return []
     return rows.groupBy(*by).count().where(F.col("count") > SPLIT_ROWS).drop("count").collect()
 
 
@@ -61,11 +63,11 @@ def _numbered(p: DataFrame, by: list[str], value: str, tie: str) -> tuple[DataFr
     return own.drop("_before").join(p.groupBy(*by).agg(F.count("*").alias("_m")), by), large
 
 
-def _running(raw: DataFrame, large: list, by: list[str], name: str, backward: bool) -> DataFrame:
-    """`name`: the running maximum of `_a` by `_r`, or the minimum from the end."""
+def _running(raw: DataFrame, large: list, by: list[str], order: list[str], name: str, backward: bool) -> DataFrame:
+    """`name`: the running maximum of `_a` in the order that numbered the rows, or the minimum from the end."""
     f, frame = (F.min, (0, Window.unboundedFollowing)) if backward else (F.max, (Window.unboundedPreceding, 0))
     keys = [*by, "_q"] if large else by
-    out = raw.withColumn("_x", f("_a").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(*frame)))
+    out = raw.withColumn("_x", f("_a").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))  # no second sort
     if not large:
         return out.withColumnRenamed("_x", name).drop("_r", "_m", "_a")
     out = _shifted(out, by, f("_a"), f, backward)
@@ -76,23 +78,22 @@ def _running(raw: DataFrame, large: list, by: list[str], name: str, backward: bo
 def holm(p: DataFrame, by: str, value: str, tie: str, family_size: int | None = None) -> DataFrame:
     """Step-down adjustment: running maximum of (m - rank + 1) p, at most 1; null p-values do not count and get no row."""
     raw, large = _numbered(_p_values(p, [by], value, family_size), [by], value, tie)
-    return _running(raw.withColumn("_a", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(value))), large, [by], "holm", False)
+    return _running(raw.withColumn("_a", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(value))), large, [by], [value, tie], "holm", False)
 
 
 def benjamini_hochberg(p: DataFrame, by: str, value: str, tie: str) -> DataFrame:
     """Step-up adjustment: running minimum from the end of m p / rank, at most 1."""
     raw, large = _numbered(_p_values(p, [by], value, None), [by], value, tie)
-    return _running(raw.withColumn("_a", F.least(F.lit(1.0), F.col(value) * F.col("_m") / F.col("_r"))), large, [by], "bh", True)
+    return _running(raw.withColumn("_a", F.least(F.lit(1.0), F.col(value) * F.col("_m") / F.col("_r"))), large, [by], [value, tie], "bh", True)
 
 
-def rank_with_ties(rows: DataFrame, by: str, value: str, out: str = "rank_avg") -> DataFrame:
-    """Average rank of peers; null values rank as null. Large groups are ranked by way of their distinct values."""
+def rank_with_ties(rows: DataFrame, by: str, value: str, out: str = "rank_avg", large: list | None = None) -> DataFrame:
+    """Average rank of peers; null values rank as null. Large groups (counted if not given) are ranked by way of their distinct values."""
     keys, known = [by], F.col(value).isNotNull()
-    large = large_groups(rows, keys)
+    large = large_groups(rows, keys) if large is None else large
     if not large:
-        peers = F.count(value).over(Window.partitionBy(by, value))
-        place = F.rank().over(Window.partitionBy(by).orderBy(F.asc_nulls_last(value)))
-        return rows.withColumn(out, F.when(known, place + (peers - 1) / 2))
+        order = Window.partitionBy(by).orderBy(F.asc_nulls_last(value))  # first and last place of the peers, by one sort
+        return rows.withColumn(out, F.when(known, (F.rank().over(order) + F.count(value).over(order)) / 2))
     ranged = with_ranges(rows.where(known).groupBy(by, value).agg(F.count("*").alias("_c")), keys, value, large)
     upto = F.sum("_c").over(Window.partitionBy(by, "_q").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     ranks = _shifted(ranged.withColumn("_u", upto), keys, F.sum("_c"), F.sum)
@@ -103,7 +104,8 @@ def rank_with_ties(rows: DataFrame, by: str, value: str, out: str = "rank_avg")
 def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks; a group with all values of a side tied raises, and is named."""
     pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = rank_with_ties(rank_with_ties(pairs, by, a, "_ra"), by, b, "_rb")
+    large = large_groups(pairs, [by])
+    ranked = rank_with_ties(rank_with_ties(pairs, by, a, "_ra", large), by, b, "_rb", large)
     flat = F.raise_error(F.concat(F.lit("ranks without variance in group "), F.col(by).cast("string"))).cast("double")
     out = ranked.groupBy(by).agg(F.max("_ra").alias("_a"), F.min("_ra").alias("_b"), F.max("_rb").alias("_c"), F.min("_rb").alias("_d"), F.try_divide(F.covar_pop("_ra", "_rb"), F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))).alias("_r"))
     return out.select(by, F.when((F.col("_a") == F.col("_b")) | (F.col("_c") == F.col("_d")), flat).otherwise(F.col("_r")).alias("rho"))
