@@ -1,4 +1,4 @@
-"""Whole steps of a run: plan and price, measure cells, control the embedder, validate a judge, prune the store."""
+"""Whole steps of a run: plan and price, measure cells, control the embedder, validate a judge; `pruning` has the store's."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from poolstat.errors import check
 from poolstat.functions.keys import poly31
 
-from . import judging, ledger, pricing, thresholds
+from . import judging, pricing, thresholds
 from .joins import reuse, stale, todo
 from .vectors import distinct_k, pool_diversity
 
@@ -73,18 +73,3 @@ def judge_validation(ideas: DataFrame, replies: DataFrame, axis: str, floor: flo
     mean = F.when(empty, F.raise_error(F.lit("an idea without expert scores")).cast("double")).otherwise(F.aggregate("expert_scores", F.lit(0.0), lambda a, x: a + x) / F.size("expert_scores"))
     rows = ideas.join(replies, "idea").select(F.lit(axis).alias("axis"), "idea", mean.alias("expert"), F.col(axis).alias("judge"))
     return judging.gate(rows, ["axis"], "judge", "expert", "idea", floor)
-
-
-def prune(keys: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keys(key), lines(key, model, billing_mode, pricing_regime, tokens, timestamp) -> (keys kept, compacted lines of what is evicted).
-
-    The compacted records and the raw ones kept hold the same tokens as before, which is checked.
-    """
-    plan = ledger.prune_plan(ledger.attempts(keys))
-    kept, gone = plan.where("action = 'keep'"), plan.where("action = 'evict'")
-    compacted = ledger.compacted_ledger(gone, lines)
-    before = lines.join(ledger.contributing(ledger.attempts(keys)).select("key"), "key").agg(F.sum(F.col("input_tokens") + F.col("output_tokens"))).first()[0] or 0
-    raw = lines.join(kept.select("key"), "key").agg(F.sum(F.col("input_tokens") + F.col("output_tokens"))).first()[0] or 0
-    after = (compacted.agg(F.sum(F.col("input_tokens") + F.col("output_tokens"))).first()[0] or 0) + raw
-    check(after == before or not gone.where("compacted").isEmpty(), f"pruning would change the ledger: {before} tokens before, {after} after")
-    return kept.select("key"), compacted

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from poolstat.operators import corpus as C
+from poolstat.operators import pruning as PR
 from poolstat.operators import records as R
 from poolstat.operators import runs as U
 from poolstat.operators import teams as TE
@@ -12,6 +13,7 @@ from . import views as V
 from .judges import scores
 from .money import rounded
 from .store import _planned, _stored
+from .store import records as table_records
 
 
 def _briefs(s, d):
@@ -26,6 +28,54 @@ def _failures(s, d):
     return table(s, d, "customer").selectExpr("'arm=x|u' || c_custkey as cell", "'c' as cfg", "'timeout' as kind", "c_name as detail").withColumn("cost_rows", F.array(F.struct(F.lit("m").alias("model"))))
 
 
+def _cells(s, d):
+    """Stored study cells, and salvage records of some: of the very cell (left by a crash), or of an older one of its key."""
+    cells = table_records(s, d).where("key like 'arm=%'").selectExpr("key", "state", "kind", "cfg", "cast(event_id as string) as stored_at", "event_id")
+    held = cells.where("kind = 'timeout' and event_id % 5 < 2").selectExpr(
+        "'pruned-cell|cell=' || key || '|attempt=0' as key", "'failed' as state", "kind", "cfg", "cast(null as string) as stored_at", "event_id", "array(case when event_id % 5 = 0 then stored_at else 'old' end) as pruned_from"
+    )
+    return cells.withColumn("pruned_from", F.lit(None).cast("array<string>")).unionByName(held)
+
+
+def _attempts(s, d):
+    return V.attempt_log(s, d).selectExpr("key", "case when key like 'judge-call%' then 'completed' else 'failed' end as state", "'timeout' as kind", "'c0' as cfg", "cast(null as string) as stored_at", "event_id", "cast(null as array<string>) as pruned_from")
+
+
+def _prunable(s, d):
+    return _attempts(s, d).unionByName(_cells(s, d))
+
+
+def _pruned(s, d):
+    rows = _prunable(s, d)
+    lines = rows.where("key not like 'batch-replay%'").selectExpr(
+        "key", "regexp_replace(regexp_replace(key, '^[a-z-]+[|]cell=', ''), '[|](attempt|through)=[0-9]+$', '') as cell_key", "case when event_id % 4 = 0 then '1997-01-01' else '1999-01-01' end as timestamp",
+        "case when event_id % 3 = 0 then 'subscription' else 'api' end as billing_mode", "'batch' as pricing_regime", "case when key like 'generation-%' then 'claude-4' else 'claude-1' end as model", "event_id * 1000 as input_tokens", "100L as output_tokens",
+    )
+    return PR.prune(rows, lines, V.rates(s), states=["failed", "completed"])
+
+
+#: every record with what the prune does to it; claude-4 has a dated rate, so that generation attempts of both sides do not fold
+PRUNE = f"""(with cells as (select key, state, kind, event_id from {V.RECORDS} where key like 'arm=%'),
+ a as (select key, family, cell, through, compacted, event_id, case when family = 'judge-call' then 'completed' else 'failed' end as state, 'timeout' as kind, null as pruned_from from {V.ATTEMPT_LOG}
+  union all select 'pruned-cell|cell=' || key || '|attempt=0', 'pruned-cell', key, 0, false, event_id, 'failed', kind, case when event_id % 5 = 0 then event_id::varchar else 'old' end from cells where kind = 'timeout' and event_id % 5 < 2),
+ o as (select *, row_number() over (partition by family, cell order by through desc, compacted) > case when family = 'batch-replay' then 1 else 5 end as old from a),
+ t as (select *, family || '-compacted|cell=' || cell || '|through=' || max(through) over w as target, max(through) filter (compacted) over w as top, count(*) over w as n from o window w as (partition by family, cell, old)),
+ k as (select *, case when not old then 'keep' when family = 'batch-replay' then 'supersede' when n = 1 and key = target then 'keep' else 'fold' end as action from t)
+ select key, action, case when action = 'fold' then target end as into_, action = 'fold' and (top is null or through > top or (compacted and through = top)) as contributes, cell, event_id, state, kind, pruned_from from k
+ union all select key, case when kind = 'timeout' then 'evict' when state = 'completed' then 'refuse' else 'keep' end, null, false, key, event_id, state, kind, null from cells)"""
+#: the salvage key of each cell that leaves with a spend not yet salvaged
+SALVAGED = f"(select key, 'pruned-cell|cell=' || key || '|attempt=' || case when event_id % 5 = 1 then 1 else 0 end as target, event_id, kind from {PRUNE} where action = 'evict' and event_id % 5 <> 0)"
+PRUNED_LEDGER = f"""with p as (select * from {PRUNE}),
+ f as (select into_ as key, event_id % 3 = 0 as mode, event_id % 4 = 0 as early, event_id, into_ like 'generation-%' as dated from p where contributes),
+ g as (select key, mode, count(*) n, any_value(dated) and count(distinct early) > 1 as apart, sum(event_id) * 1000 i, count(*) * 100 o from f group by 1, 2)
+ select key, cast(n as bigint) n, cast(i as bigint) input_tokens, cast(o as bigint) output_tokens from (
+ select key, 1 n, event_id * 1000 i, 100 o from p where action in ('keep', 'refuse') and key not like 'batch-replay%' union all select target, 1, event_id * 1000, 100 from {SALVAGED}
+ union all select key, case when bool_or(apart) then sum(n) else count(*) end, sum(i), sum(o) from g group by 1)"""
+PRUNED_RECORDS = f"""select key, state, kind, pruned_from from {PRUNE} where action in ('keep', 'refuse')
+ union all select target, 'failed', kind, event_id::varchar from {SALVAGED}
+ union all select into_, case when into_ like 'judge-call%' then 'completed' else 'failed' end, case when into_ not like 'judge-call%' then 'harness_error' end, '' from {PRUNE} where contributes group by 1"""
+
+
 QUERIES = {
     "corpus_hash": (lambda s, d: C.corpus_hash(_briefs(s, d), "region"), f"select region, substr(sha256(j), 1, 12) as hash from {ITEMS}"),
     "brief_hashes": (lambda s, d: C.content_hashes(_briefs(s, d)), "select n_name id, substr(sha256('brief of ' || n_name), 1, 12) content_hash from nation"),
@@ -81,9 +131,15 @@ QUERIES = {
         "select 't' || n_regionkey topic, string_agg(n_name, ',' order by n_nationkey) candidates from nation group by 1",
     ),
     "pruned_keys": (
-        lambda s, d: U.prune(V.attempt_log(s, d).select("key"), V.attempt_log(s, d).selectExpr("key", "'m' as model", "'api' as billing_mode", "'batch' as pricing_regime", "event_id as input_tokens", "1L as output_tokens", "'2026' as timestamp"))[0],
+        lambda s, d: PR.prune_plan(V.attempt_log(s, d).select("key", F.lit("failed").alias("state"))).where("action = 'keep'").select("key"),
         f"select key from {V.ATTEMPT_LOG} qualify row_number() over (partition by family, cell order by through desc, compacted) <= case when family = 'batch-replay' then 1 else 5 end",
     ),
+    "prune_actions": (
+        lambda s, d: PR.prune_plan(_prunable(s, d), states=["failed", "completed"]).select("key", "action", "into", "contributes"),
+        f"select key, action, into_ as \"into\", contributes from {PRUNE}",
+    ),
+    "pruned_ledger": (lambda s, d: _pruned(s, d).lines.groupBy("key").agg(F.count("*").alias("n"), F.sum("input_tokens").cast("long").alias("input_tokens"), F.sum("output_tokens").cast("long").alias("output_tokens")), PRUNED_LEDGER),
+    "pruned_records": (lambda s, d: _pruned(s, d).records.select("key", "state", "kind", F.array_join("pruned_from", ",").alias("pruned_from")), PRUNED_RECORDS),
     "plan_and_price": (
         lambda s, d: U.plan_and_price(_planned(s, d), _stored(s, d), V.slots(s, d).withColumn("arm", F.concat(F.lit("A"), F.col("arm"))), V.rates(s)).projection.select("cell_key", "calibrated"),
         f"select key as cell_key, false as calibrated from (select distinct 'arm=' || arm || '|brief=' || brief || '|rep=' || replicate || '|cfg=c1' as key from {V.RECORDS} where key like 'arm=%') where key not in (select key from {V.RECORDS})",
