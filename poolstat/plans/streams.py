@@ -1,9 +1,12 @@
 """Queries of keyed state: the same events as a table and as a stream."""
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from poolstat.sources.tables import shared_dir, table, written
+from poolstat.streaming import replays as RP
 from poolstat.streaming import reservations as RE
 
 #: Each order asks for its price, in thousands, under its status; two orders later every third one pays four fifths, and all settle.
@@ -23,11 +26,44 @@ def _events(s, d):
 
 def _streamed(s, d):
     """The events as files in no order, read a few at a time."""
-    files = written(_events(s, d).withColumn("_f", F.pmod(F.xxhash64("run", "seq"), F.lit(6))).repartition(6, "_f").drop("_f"))
-    source = s.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(files.inputFiles()[0].rsplit("/", 1)[0])
-    folder = f"{shared_dir(s)}/reservations-{s.sql('select uuid()').first()[0]}"
-    RE.drained(RE.reserve(source, TOTAL, CEILINGS), folder)
-    return RE.rows_of(folder, s)
+    source = _files(s, _events(s, d).repartition(6, F.pmod(F.xxhash64("run", "seq"), F.lit(6))), 2)
+    return _drained(s, RE.reserve(source, TOTAL, CEILINGS), RE.ROW)
+
+
+def _files(s, rows, at_once):
+    """A table written as files, read back as a stream."""
+    files = written(rows)
+    return s.readStream.schema(files.schema).option("maxFilesPerTrigger", at_once).parquet(files.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def _drained(s, stream, schema):
+    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    RE.drained(stream, folder)
+    return RE.rows_of(folder, s, schema)
+
+
+_BATCHES = "'n' || c_nationkey as cell, 'b' || c_custkey as batch, c_custkey % 200 as sent, c_custkey % 200 + cast(floor(abs(c_acctbal)) as int) % 120 as answered, c_custkey % 7 = 0 as retires"
+RETENTION, DAYS, START = 60, 1000, 19_723  # days; the first is 2024-01-01
+
+
+def _replayed(s, d):
+    """Batches of customers: sent on some day, answered up to 120 days later, every seventh retired on its fortieth day."""
+    own = table(s, d, "customer").selectExpr(*_BATCHES.split(", "))
+    event = lambda kind, day: F.struct(F.lit(kind).alias("kind"), day.cast("int").alias("day"))
+    retire = F.when(F.col("retires"), event("retire", F.col("sent") + 40))
+    rows = own.select("cell", "batch", F.explode(F.filter(F.array(event("submit", F.col("sent")), event("reply", F.col("answered")), retire), lambda e: e.isNotNull())).alias("e")).select("cell", "batch", "e.*")
+    last = own.agg(F.max("cell").alias("cell")).select("cell", F.lit("end").alias("batch"), F.lit("submit").alias("kind"), F.lit(DAYS).alias("day"))  # takes the watermark past all others
+    rows = rows.union(last).withColumn("at", F.timestamp_seconds((F.col("day") + START).cast("long") * 86400))
+    source = _files(s, rows.repartitionByRange(4, "day"), 4)
+    out = _drained(s, RP.replays(source, RETENTION, "400 days"), RP.ROW).where("batch <> 'end'")
+    return out.select("cell", "batch", "kind", (F.unix_seconds("at") / 86400 - START).cast("int").alias("day"), "outcome")
+
+
+REPLAYED = f"""with o as (select {_BATCHES} from customer),
+ t as (select *, retires and sent + 40 < answered as gone, answered - sent > {RETENTION} as old from o)
+ select cell, batch, 'submit' kind, sent as day, 'held' outcome from t union all select cell, batch, 'reply', answered, case when gone or old then 'late' else 'replayed' end from t
+ union all select cell, batch, 'retire', sent + 40, case when answered <= sent + 40 then 'idle' else 'retired' end from t where retires
+ union all select cell, batch, 'expire', sent + {RETENTION}, 'expired' from t where old and not gone"""
 
 
 def _book_sql() -> str:
@@ -57,4 +93,5 @@ select n.run, n.seq, kind, cell, out[seq + 1].outcome outcome, out[seq + 1].spen
 QUERIES = {
     "reservation_ledger": (lambda s, d: RE.booked(_events(s, d), TOTAL, CEILINGS), _book_sql()),
     "reservation_stream": (_streamed, _book_sql()),
+    "replay_stream": (_replayed, REPLAYED),
 }

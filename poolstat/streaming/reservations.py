@@ -152,5 +152,5 @@ def drained(stream: DataFrame, folder: str) -> None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
 
 
-def rows_of(folder: str, spark) -> DataFrame:
-    return spark.read.schema(ROW).parquet(f"{folder}/rows")
+def rows_of(folder: str, spark, schema: str = ROW) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
