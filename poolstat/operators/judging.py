@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from poolstat.errors import BiasNotIdentifiable, JudgeScoresUnavailable, check
-from poolstat.functions.keys import judge_scores_key, leg_seed
+from poolstat.functions.keys import judge_scores_key, leg_seed, mulberry32_at
 from poolstat.functions.text import AXES
+from poolstat.sources.tables import written
 
+from .prefix import numbered, running
 from .pricing import provider_of
 from .vectors import mulberry32_draws
 from .windows import spearman
@@ -105,16 +107,17 @@ def require_bias(rows: DataFrame) -> DataFrame:
 
 
 def balanced_accuracy(rows: DataFrame, by: list[str], reference: str, evaluator: str, index: str, quantile: float = QUANTILE) -> DataFrame:
-    """Agreement on the lowest and highest floor(n * quantile) ideas by reference; ties by index on both rankings.
+    """Agreement on the lowest and highest floor(n * quantile) ideas by reference; ties by index on both rankings; large groups
+    are ranked by ranges.
 
     Groups that round to no idea on a side give no row.
     """
     check(0 < quantile <= 0.5, f"quantile must lie in (0, 0.5], got {quantile}")
-    ranked = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).withColumn("_k", F.floor(F.col("_n") * quantile))
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(reference, index)))
+    ranked = numbered(rows, by, [reference, index], "_r", "_n").withColumn("_k", F.floor(F.col("_n") * quantile))
     side = F.when(F.col("_r") <= F.col("_k"), 0).when(F.col("_r") > F.col("_n") - F.col("_k"), 1)
     labelled = ranked.withColumn("_y", side).where("_y is not null and _k >= 1")
-    guess = (F.row_number().over(Window.partitionBy(*by).orderBy(evaluator, index)) > F.col("_k")).cast("int")
+    labelled = numbered(labelled, by, [evaluator, index], "_place")  # the two ends alone
+    guess = (F.col("_place") > F.col("_k")).cast("int")
     hit = labelled.withColumn("_g", guess)
     share = lambda y: F.sum(F.when(F.col("_y") == y, (F.col("_g") == y).cast("double"))) / F.max("_k")
     out = hit.groupBy(*by).agg(F.max("_n").alias("n"), F.max("_k").alias("k"), share(1).alias("sensitivity"), share(0).alias("specificity"))
@@ -232,29 +235,47 @@ def split_half(reviews: DataFrame, group: str, idea: str, scores: str, splits: i
     return parts.groupBy(group).agg(F.max("n").alias("n"), (F.sum("_v") / splits).alias("mean_accuracy"))
 
 
-def split_half_interval(lists: list[list[float]], draws: int = 2000, splits: int = 200, seed: int = 2, level: float = 0.95, spark=None, quantile: float = QUANTILE) -> tuple[float, float]:
-    """Percentile interval of the split-half accuracy over resampled ideas; draws are spread over tasks."""
-    n = len(lists)
-    check(n >= MIN_IDEAS, f"{n} ideas are under {MIN_IDEAS}")
-
-    def run(parts):
-        for part in parts:
-            out = []
-            for d in part["id"]:
-                pick = [lists[int(u * n)] for u in mulberry32_draws(seed, int(d) * n, n)]
-                used, total = sum(len(x) - 1 for x in pick), 0.0
-                for s in range(splits):
-                    u, at = mulberry32_draws(int(d) + 1, s * used, used), 0
-                    halves = np.empty((2, n))
-                    for i, x in enumerate(pick):
-                        mixed = _shuffled(x, u[at : at + len(x) - 1])
-                        at += len(x) - 1
-                        h = len(mixed) // 2
-                        halves[:, i] = sum(mixed[:h]) / h, sum(mixed[h:]) / (len(mixed) - h)
-                    total += _accuracy(halves[0], halves[1], int(n * quantile))
-                out.append(total / splits)
-            yield pd.DataFrame({"v": out})
-
-    values = np.sort(spark.range(draws).repartition(min(draws, 64)).mapInPandas(run, "v double").toPandas()["v"].to_numpy())  # `draws` numbers
+def interval(reviews: DataFrame, group: str, idea: str, scores: str, draws: int = 2000, splits: int = 200, seed: int = 2, level: float = 0.95, quantile: float = QUANTILE) -> DataFrame:
+    """group, n, lower, upper: percentile interval of the split-half accuracy over resampled ideas.
+
+    Two levels: every draw picks n of a group's ideas with replacement, each pick by its own place in the generator's
+    stream, as rows joined with the ideas' reviews; then each draw's picks are split `splits` times in a task of their own,
+    which holds that draw's reviews and no others. Ideas are numbered by ranges, in the order of `idea`.
+    """
+    few = reviews.groupBy(group).agg(F.count("*").alias("n"), F.min(F.size(scores)).alias("m")).where(f"n < {MIN_IDEAS} or m < 2")
+    check(few.isEmpty(), f"under {MIN_IDEAS} ideas, or an idea with under 2 reviews, in {[r[0] for r in few.limit(5).collect()]}")
+    own = running(reviews.select(F.col(group).alias("_g"), F.col(idea).alias("_idea"), F.transform(scores, lambda x: x.cast("double")).alias("_x")), ["_g"], ["_idea"], {"_i": F.lit(1)})
+    own = written(own.select("_g", (F.col("_i") - 1).alias("_i"), F.col("_i_all").alias("_n"), "_x"))
+    places = own.select("_g", "_n", F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
+    pick = F.floor(mulberry32_at(F.lit(seed), F.col("_d") * F.col("_n") + F.col("_j")) * F.col("_n"))
+    picks = places.select("_g", "_n", "_d", "_j", pick.alias("_i")).join(own.select(F.col("_g").alias("_h"), F.col("_i").alias("_k"), "_x"), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_i") == F.col("_k")))
+    kind = dict(own.dtypes)["_g"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        lists = [list(map(float, x)) for x in part.sort_values("_j")["_x"]]
+        start = (seed * 1_000_003 + int(part["_d"].iloc[0]) + 1) & 0xFFFFFFFF
+        used, k, total = sum(len(x) - 1 for x in lists), int(len(lists) * quantile), 0.0
+        for s in range(splits):
+            u, at = mulberry32_draws(start, s * used, used), 0
+            halves = np.empty((2, len(lists)))
+            for i, x in enumerate(lists):
+                mixed = _shuffled(x, u[at : at + len(x) - 1])
+                at += len(x) - 1
+                h = len(mixed) // 2
+                halves[:, i] = sum(mixed[:h]) / h, sum(mixed[h:]) / (len(mixed) - h)
+            total += _accuracy(halves[0], halves[1], k)
+        return pd.DataFrame({"_g": [part["_g"].iloc[0]], "n": [len(lists)], "_v": [total / splits]})
+
+    values = picks.select("_g", "_d", "_j", "_x").groupBy("_g", "_d").applyInPandas(run, f"_g {kind}, n long, _v double")
     tail = (1 - level) / 2
-    return float(values[int(tail * draws)]), float(values[min(draws - 1, int(np.ceil((1 - tail) * draws)) - 1)])
+    low, high = int(tail * draws), max(0, min(draws - 1, int(np.ceil((1 - tail) * draws)) - 1))
+    sorted_ = F.sort_array(F.collect_list("_v"))  # `draws` numbers
+    return values.groupBy(F.col("_g").alias(group)).agg(F.max("n").alias("n"), sorted_[low].alias("lower"), sorted_[high].alias("upper"))
+
+
+def split_half_interval(lists: list[list[float]], draws: int = 2000, splits: int = 200, seed: int = 2, level: float = 0.95, spark=None, quantile: float = QUANTILE) -> tuple[float, float]:
+    """The interval of one group whose reviews are at hand."""
+    check(len(lists) >= MIN_IDEAS, f"{len(lists)} ideas are under {MIN_IDEAS}")
+    rows = spark.createDataFrame([(0, i, [float(v) for v in x]) for i, x in enumerate(lists)], "g int, idea int, scores array<double>")
+    r = interval(rows, "g", "idea", "scores", draws, splits, seed, level, quantile).first()
+    return r["lower"], r["upper"]

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from poolstat.operators import thresholds
+from poolstat.operators import judging, prefix, thresholds
 from poolstat.operators.prefix import running
 from poolstat.plans import statistics
 
@@ -65,3 +65,67 @@ def test_select_threshold_over_many_ranges(spark, ranges):
                     runs.append([k, k])
         a, b = max(runs, key=lambda r: (round(cuts[r[1]] - cuts[r[0]], 12), -r[0]))
         assert got[g] == (round((cuts[a] + cuts[b]) / 2, 9), round(best, 9))
+
+
+def test_extremes_of_a_large_group(spark, ranges, monkeypatch):
+    """One topic with most rows, ranked by ranges: the registered query's SQL, and a plain ranking."""
+    monkeypatch.setattr(prefix, "SPLIT_ROWS", 50)
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    query, sql = statistics.QUERIES["balanced_accuracy"]
+    assert sorted(tuple(r) for r in query(spark, SF).select("topic", "n", "k", "sensitivity", "specificity", "accuracy").collect()) == sorted(c.execute(f"select topic, n, k, sensitivity, specificity, accuracy from ({sql})").fetchall())
+    rng = random.Random(2)
+    rows = [(0 if rng.random() < 0.9 else 1, i, float(rng.randrange(5)), rng.random()) for i in range(400)]
+    got = {r.t: r.accuracy for r in judging.balanced_accuracy(spark.createDataFrame(rows, "t int, i int, e double, j double"), ["t"], "e", "j", "i").collect()}
+    for t in (0, 1):
+        own = sorted((r for r in rows if r[0] == t), key=lambda r: (r[2], r[1]))
+        k = len(own) // 4
+        low, high = {r[1] for r in own[:k]}, {r[1] for r in own[-k:]}
+        order = [r[1] for r in sorted(own[:k] + own[-k:], key=lambda r: (r[3], r[1]))]
+        assert got[t] == pytest.approx((len(low & set(order[:k])) + len(high & set(order[k:]))) / (2 * k))
+
+
+def test_interval_equals_plain(spark, ranges):
+    """Two groups, few draws: ideas resampled by the generator's stream, their reviews split again and again."""
+
+    def stream(seed):
+        a = seed & 0xFFFFFFFF
+        while True:
+            a = (a + 0x6D2B79F5) & 0xFFFFFFFF
+            t = (a ^ a >> 15) * (a | 1) & 0xFFFFFFFF
+            t ^= (t + ((t ^ t >> 7) * (t | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
+            yield ((t ^ t >> 14) & 0xFFFFFFFF) / 4294967296
+
+    def mean_accuracy(lists, splits, seed):
+        u, total = stream(seed), 0.0
+        for _ in range(splits):
+            a, b = [], []
+            for x in lists:
+                x = list(x)
+                for i in range(len(x) - 1, 0, -1):
+                    j = int(next(u) * (i + 1))
+                    x[i], x[j] = x[j], x[i]
+                h = len(x) // 2
+                a.append(sum(x[:h]) / h)
+                b.append(sum(x[h:]) / (len(x) - h))
+            k = len(lists) // 4
+            order = sorted(range(len(a)), key=lambda i: (a[i], i))
+            low, high = order[:k], order[-k:]
+            guess = sorted(low + high, key=lambda i: b[i])
+            guess = sorted(range(2 * k), key=lambda p: (b[(low + high)[p]], (low + high)[p]))
+            named = [(low + high)[p] for p in guess]
+            total += (len(set(low) & set(named[:k])) + len(set(high) & set(named[k:]))) / (2 * k)
+        return total / splits
+
+    rng = random.Random(6)
+    rows = [(g, i, [float(rng.randrange(1, 11)) for _ in range(rng.randrange(2, 5))]) for g, n in (("a", 24), ("b", 21)) for i in range(n)]
+    got = {r.g: (r.n, r.lower, r.upper) for r in judging.interval(spark.createDataFrame(rows, "g string, idea int, x array<double>").repartition(3), "g", "idea", "x", 9, 3, 2, 0.8).collect()}
+    for g in "ab":
+        lists = [r[2] for r in rows if r[0] == g]
+        u, values = stream(2), []
+        for d in range(9):
+            picks = [lists[int(next(u) * len(lists))] for _ in lists]
+            values.append(mean_accuracy(picks, 3, 2 * 1_000_003 + d + 1))
+        values.sort()
+        assert got[g] == (len(lists), pytest.approx(values[0]), pytest.approx(values[8]))
