@@ -36,10 +36,22 @@ def _cell(c, alias=False):
     return [p[x].alias(x) for x in ("arm", "brief", "replicate", "cfg")]
 
 
+#: a cost row for every line of the log, the lines of a repeated key too: all were paid
+_COSTS = [
+    ("cell_key", "key"), ("timestamp", "case when event_id % 3 = 0 then '1997-01-01' else '1999-01-01' end"), ("billing_mode", "case when event_id % 7 = 0 then 'subscription' else 'api' end"),
+    ("pricing_regime", "case event_id % 4 when 0 then 'batch' when 1 then 'single' end"), ("model", "case event_id % 5 when 0 then 'claude-1' when 1 then 'gpt-2' when 2 then 'claude-4' else 'voyage-3' end"),
+    ("input_tokens", "cast(event_id * 100 as double)"), ("output_tokens", "cast(value * 1000 as double)"),
+]
+#: api totals of a cell, rows without a regime as single
+CELL_COST = f"""(select c.cell_key as key, sum((c.input_tokens / 1e6 * case when r.intro_in is not null and c.timestamp <= r.intro_until then r.intro_in else r.rate_in end
+ + c.output_tokens / 1e6 * case when r.intro_in is not null and c.timestamp <= r.intro_until then r.intro_out else r.rate_out end)
+ * (1 - case when c.pricing_regime = 'batch' then coalesce(r.batch_discount, case when c.model like 'voyage-%' then 1 / 3.0::double else 0.5::double end) else 0 end)) filter (c.billing_mode = 'api') as cost
+ from (select {", ".join(f"{e} as {n}" for n, e in _COSTS)} from {V.INDEX_LOG}) c join {V.RATES} r on c.model = r.model group by 1)"""
+
+
 def _frame(s, d):
     rows = records(s, d).withColumn("result", F.struct(F.col("value").alias("distinct_k"))).drop("value")
-    costs = V.ledger(s, d).limit(0).drop("l_returnflag", "l_linestatus", "l_linenumber")
-    return FR.build_frame(rows, costs, V.rates(s), ["c0"])
+    return FR.build_frame(rows, V.index_log(s, d).selectExpr(*[f"{e} as {n}" for n, e in _COSTS]), V.rates(s), ["c0"])
 
 
 QUERIES = {
@@ -72,7 +84,14 @@ QUERIES = {
     "frame_buckets": (
         lambda s, d: FR.bucketed(records(s, d), ["c0"]).select("key", "bucket"), f"select key, bucket from {BUCKETED}",
     ),
-    "frame_rows": (lambda s, d: _frame(s, d).rows.select("key", "arm", "brief", "replicate", F.round("response", 4).alias("response"), "cost"), f"select key, arm, brief, replicate, round(value, 4) response, 0.0::double as cost from {BUCKETED} where bucket = 'completed'"),
+    "frame_rows": (
+        lambda s, d: _frame(s, d).rows.select("key", "arm", "brief", "replicate", F.round("response", 4).alias("response"), F.round("cost", 9).alias("cost")),
+        f"select b.key, arm, brief, replicate, round(value, 4) response, round(coalesce(c.cost, 0)::double, 9) as cost from {BUCKETED} b left join {CELL_COST} c on c.key = b.key where bucket = 'completed'",
+    ),
+    "frame_arm_costs": (
+        lambda s, d: _frame(s, d).rows.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("response"), 4).alias("response"), F.round(F.sum("cost"), 7).alias("cost")),
+        f"select arm, count(*) n, round(avg(value), 4) response, round(sum(coalesce(c.cost, 0)), 7) as cost from {BUCKETED} b left join {CELL_COST} c on c.key = b.key where bucket = 'completed' group by 1",
+    ),
     "frame_failures": (lambda s, d: FR.failures_by_arm(_frame(s, d).excluded), f"select arm, kind, count(*) n from {BUCKETED} where bucket = 'failed' group by 1, 2"),
     "frame_skipped": (lambda s, d: FR.skipped_by_arm(_frame(s, d).excluded), f"select arm, count(*) n from {BUCKETED} where bucket = 'skipped' group by 1"),
     "frame_stale": (lambda s, d: FR.stale_by_config(_frame(s, d).excluded), f"select cfg, count(*) n from {BUCKETED} where bucket = 'stale' and {STUDY} group by 1"),
