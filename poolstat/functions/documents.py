@@ -183,3 +183,44 @@ def canonical_json(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+def _rewritten(rewrite):
+    """A column of JSON texts -> the canonical JSON of what `rewrite` makes of each value; null and unreadable text give null."""
+
+    @F.pandas_udf(T.StringType())
+    def column(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return rewrite(decoded(t)) if t is not None else None
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return column
+
+
+#: an arms configuration without its documenting keys at any depth, and a configuration's hashed fields, as canonical text
+canonical_arms = _rewritten(lambda v: stringify(undocumented(v)) if isinstance(v, dict) else None)
+canonical_config = _rewritten(lambda v: stringify({f: v[f] for f in sorted(CONFIG_FIELDS) if f in v}, ordered=False) if isinstance(v, dict) else None)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_judge_request(texts: pd.Series, bounds: pd.Series) -> pd.Series:
+    """Canonical text of judges' request shapes with their one token bound, given in the shape or beside it; without one, or with two that differ, null."""
+
+    def one(t, bound):
+        try:
+            shape = decoded(t) if t is not None else None
+        except ValueError:
+            return None
+        if not isinstance(shape, dict):
+            return None
+        own = shape.get("maxTokens")
+        given = None if pd.isna(bound) else int(bound)
+        use = given if given is not None else own
+        fits = isinstance(use, int) and not isinstance(use, bool) and use > 0 and (own is None or given is None or own == given)
+        return stringify({**shape, "maxTokens": use}) if fits else None
+
+    return pd.Series([one(t, b) for t, b in zip(texts, bounds)], dtype=object)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from poolstat.functions import documents as D
 from poolstat.functions import keys as K
 from poolstat.functions import text as T
+from poolstat.operators import requests as RQ
 from poolstat.operators import teams as TE
 from poolstat.sources import store as S
 from poolstat.sources.tables import table
@@ -108,6 +109,22 @@ QUERIES = {
         lambda s, d: table(s, d, "part").select("p_partkey", T.max_tokens(F.col("p_size") - 10, F.lit(175), 4096).alias("n")), "select p_partkey, cast(greatest(4096, ceil(case when p_size > 10 then p_size - 10 else 6 end * 437.5)) as bigint) n from part",
     ),
     "candidate_text": (lambda s, d: table(s, d, "events").select("event_id", T.candidate_text(F.when(F.col("event_id") % 2 == 0, F.col("event_type")), F.col("props")).alias("text")), "select event_id, case when event_id % 2 = 0 then event_type else props end as text from events"),
+    "arms_hash": (
+        lambda s, d: table(s, d, "events").select("event_id", RQ.arms_hash(F.expr("""'{"_n": ' || event_id || ', "b": [{"purpose": "p", "slots": [' || props || ', {"label": 1}]}], "a": "' || event_type || '"}'""")).alias("hash")),
+        """select event_id, substr(sha256('{"a":"' || event_type || '","b":[{"slots":[' || replace(props, ' ', '') || ',{}]}]}'), 1, 12) as hash from events""",
+    ),
+    "judge_hash": (
+        lambda s, d: table(s, d, "supplier").groupBy("s_nationkey").agg(RQ.judge_hash(F.collect_list(F.concat(F.lit("m"), F.col("s_suppkey") % 7)), F.concat(F.lit("p"), F.col("s_nationkey"))).alias("hash")),
+        """select s_nationkey, substr(sha256('{"prompt":"p' || s_nationkey || '","models":[' || string_agg(distinct '"m' || (s_suppkey % 7) || '"', ',' order by '"m' || (s_suppkey % 7) || '"') || ']}'), 1, 12) as hash from supplier group by 1""",
+    ),
+    "judge_request_hash": (
+        lambda s, d: table(s, d, "part").select("p_partkey", RQ.judge_request_hash(F.expr("""case when p_size % 2 = 0 then '{"t": ' || p_size || ', "maxTokens": 40}' else '{"t": ' || p_size || '}' end"""), F.expr("case when p_size % 4 <> 2 then 40 end")).alias("hash")),
+        """select p_partkey, substr(sha256('{"maxTokens":40,"t":' || p_size || '}'), 1, 12) as hash from part""",
+    ),
+    "content_ids": (
+        lambda s, d: RQ.content_ids(table(s, d, "conversations").selectExpr("conv_id", "turn", "role", """'{"role": "' || role || '", "n": ' || length(text) % 50 || '}' as request"""), "request", ["conv_id", "turn", "role"]).select("conv_id", "turn", "role", "custom_id"),
+        """select conv_id, turn, role, 'r' || substr(sha256(j), 1, 40) || '-' || (row_number() over (partition by j order by conv_id, turn, role) - 1) as custom_id from (select conv_id, turn, role, '{"n":' || length(text) % 50 || ',"role":"' || role || '"}' as j from conversations where text is not null and role is not null)""",
+    ),
     "config_hash_text": (lambda s, d: table(s, d, "events").select("event_id", K.short_hash(D.canonical_json(F.concat(F.lit('{"z": 1.0, "a": '), "props", F.lit("}")))).alias("h")), """select event_id, substr(sha256('{"a":' || replace(props, ' ', '') || ',"z":1}'), 1, 12) h from events"""),
     "validation_keys": (
         lambda s, d: table(s, d, "nation").select(K.validation_key(F.lit("j"), F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("q"))).alias("key"), K.phase0_key(F.lit("dat"), F.col("n_name")).alias("phase0")),
