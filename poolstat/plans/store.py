@@ -1,5 +1,7 @@
 """Queries of the store: index, frame, accounts and attempts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from poolstat.functions import keys as K
@@ -8,7 +10,8 @@ from poolstat.operators import frame as FR
 from poolstat.operators import joins as J
 from poolstat.operators import ledger as L
 from poolstat.sources import store as S
-from poolstat.sources.tables import table
+from poolstat.sources.keyed import Keyed
+from poolstat.sources.tables import shared_dir, table
 
 from . import views as V
 
@@ -54,7 +57,17 @@ def _frame(s, d):
     return FR.build_frame(rows, V.index_log(s, d).selectExpr(*[f"{e} as {n}" for n, e in _COSTS]), V.rates(s), ["c0"])
 
 
+def _keyed(s, d):
+    """Two puts of bodies, the second with half of the first again, then the bodies of some keys."""
+    store = Keyed(s, f"{shared_dir(s)}/keyed-{uuid.uuid4().hex}", 16)
+    bodies = records(s, d).select("key", "state", F.to_json(F.struct("event_id", "value")).alias("body"), "replicate")
+    store.put(bodies.where("replicate < 2"))
+    store.put(bodies.where("replicate > 0"))
+    return store.of(bodies.where("state = 'failed'")).select("key", "state", F.get_json_object("body", "$.event_id").cast("long").alias("event_id"))
+
+
 QUERIES = {
+    "keyed_bodies": (_keyed, f"select key, state, event_id from {V.RECORDS} where state = 'failed'"),
     "store_index": (records, f"select * from {V.RECORDS}"),
     "store_has": (
         lambda s, d: S.has(records(s, d), table(s, d, "nation").selectExpr("'arm=A' || (n_nationkey % 5) || '|brief=b' || n_nationkey || '|rep=0|cfg=c' || (n_nationkey % 2) as key")),
