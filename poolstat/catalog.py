@@ -7,7 +7,7 @@ from poolstat.operators import aggregates as A
 from poolstat.operators import joins as J
 from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
-from poolstat.plans import judges, money, records, statistics, store, streams, studies, texts
+from poolstat.plans import checks, judges, money, records, statistics, store, streams, studies, texts
 from poolstat.sources.tables import cells, table
 
 CELLS = "(select l_returnflag arm, l_suppkey % 12 brief, l_linenumber replicate, l_quantity response, l_extendedprice / 1000 as cost from lineitem)"
@@ -105,7 +105,7 @@ CATALOG = {
 }
 
 
-ALL = CATALOG | money.QUERIES | store.QUERIES | statistics.QUERIES | judges.QUERIES | texts.QUERIES | records.QUERIES | streams.QUERIES | studies.QUERIES
+ALL = CATALOG | money.QUERIES | store.QUERIES | statistics.QUERIES | judges.QUERIES | texts.QUERIES | records.QUERIES | streams.QUERIES | studies.QUERIES | checks.QUERIES
 
 
 def queries():
