@@ -97,10 +97,6 @@ def body_file(key: Column) -> Column:
     return F.concat(short_hash(key, 16), F.lit(".json"))
 
 
-def content_id(digest_text: Column) -> Column:
-    return short_hash(digest_text, 40)
-
-
 def validation_key(judge: Column, slice_id: Column, request: Column | None = None) -> Column:
     middle = F.lit("") if request is None else F.when(request.isNull(), "").otherwise(F.concat(F.lit("|req="), request))
     return F.concat(F.lit("judge-validation|judge="), judge, middle, F.lit("|slice="), slice_id)

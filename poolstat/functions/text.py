@@ -182,7 +182,3 @@ def max_tokens(ideas: Column, rate: Column, floor: int, headroom: float = 2.5, u
 
 def candidate_text(plain: Column, nested: Column) -> Column:
     return F.coalesce(plain, nested)
-
-
-def reconciled_path(store: Column) -> Column:
-    return F.regexp_replace(store, "/+$", "")

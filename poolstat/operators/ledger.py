@@ -94,12 +94,6 @@ def compacted_ledger(evicted: DataFrame, lines: DataFrame) -> DataFrame:
     return per.join(evicted.groupBy("family", "cell").agg(F.max("through").alias("through")), ["family", "cell"])
 
 
-def pruned_spend_kept(before: DataFrame, after: DataFrame, usd: str = "usd", relative: float = 1e-9) -> bool:
-    """Whether pruning left the spend as it was: sums of both ledgers within a relative bound."""
-    a, b = before.agg(F.sum(usd)).first()[0] or 0.0, after.agg(F.sum(usd)).first()[0] or 0.0
-    return abs(a - b) <= relative * max(1.0, abs(a))
-
-
 def salvaged_spend(evicted: DataFrame, kept: DataFrame) -> DataFrame:
     """Ledger rows of evicted cells that were not salvaged before, told by the time they were stored."""
     return evicted.join(kept.select("cell", "pruned_from"), (evicted["cell"] == kept["cell"]) & (evicted["stored_at"] == kept["pruned_from"]), "left_anti")

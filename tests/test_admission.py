@@ -28,8 +28,16 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("ceiling,prior", [(100.0, 0.0), (7.000001, 2.0), (5.0, 5.0), (4.0, 5.0)])
+@pytest.fixture(autouse=True)
+def few_tasks(spark):
+    """Several ranges, few tasks a step."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("ceiling,prior,case", [(c, p, k) for c, p in ((100.0, 0.0), (7.000001, 2.0)) for k in CASES] + [(5.0, 5.0, "zero and huge"), (4.0, 5.0, "zero and huge")])
 def test_equals_sequential(spark, monkeypatch, case, ceiling, prior):
     """Blocks of 8 rows, nodes of 4 blocks; every third row shares its place in the plan with others."""
     monkeypatch.setattr(admission, "LEVELS", (3, 5, 34))
