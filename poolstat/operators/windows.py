@@ -65,9 +65,10 @@ def _numbered(p: DataFrame, by: list[str], value: str, tie: str) -> tuple[DataFr
 
 def _running(raw: DataFrame, large: list, by: list[str], order: list[str], name: str, backward: bool) -> DataFrame:
     """`name`: the running maximum of `_a` in the order that numbered the rows, or the minimum from the end."""
-    f, frame = (F.min, (0, Window.unboundedFollowing)) if backward else (F.max, (Window.unboundedPreceding, 0))
+    f, way = (F.min, F.desc) if backward else (F.max, F.asc)
     keys = [*by, "_q"] if large else by
-    out = raw.withColumn("_x", f("_a").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))  # no second sort
+    # from the end by a sort of its own: a frame that runs on to the end is added up anew for every row
+    out = raw.withColumn("_x", f("_a").over(Window.partitionBy(*keys).orderBy(*map(way, order)).rowsBetween(Window.unboundedPreceding, 0)))
     if not large:
         return out.withColumnRenamed("_x", name).drop("_r", "_m", "_a")
     out = _shifted(out, by, f("_a"), f, backward)
