@@ -2,6 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
+from poolstat.operators import clustering
+from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
 
 
@@ -10,7 +15,7 @@ def test_step_up_reads_no_frame_to_the_end(spark):
     rng = random.Random(5)
     rows = [(g, i, rng.randrange(40) / 40) for g in "ab" for i in range(300)]
     out = W.benjamini_hochberg(spark.createDataFrame(rows, "g string, i long, p double"), "g", "p", "i")
-    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    assert "currentrow$(), unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
     want = {}
     for g in "ab":
         own, least = sorted((p, i) for h, i, p in rows if h == g), 1.0
@@ -19,3 +24,27 @@ def test_step_up_reads_no_frame_to_the_end(spark):
             least = min(least, p * len(own) / r)
             want[g, i] = round(least, 12)
     assert {(r.g, r.i): round(r.bh, 12) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_means_merge_as_the_matrix_does(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(90, 5)) if seed % 2 else np.repeat(rng.normal(size=(30, 5)), 3, axis=0)  # copies
+    for t in (0.01, 0.1, 0.4, 0.9, 2.1):
+        heights, groups = clustering.merged(clustering.distance_matrix(x), t)
+        own, mine = clustering.merge_means(clustering.unit_rows(x), t)
+        assert np.allclose(sorted(own), sorted(heights), atol=1e-12)
+        assert {frozenset(m) for _, m in mine} == {frozenset(m) for m in groups}
+
+
+def test_pools_over_ten_thousand(spark):
+    """One component of 10,050 vectors, refused before as its square of distances would not fit: four directions, most of them copies."""
+    rng = np.random.default_rng(1)
+    x = np.repeat(np.eye(4) + 0.2, [2600, 2550, 2500, 2400], axis=0)
+    rows = [("a", int(i), [float(v) for v in x[i]]) for i in rng.permutation(len(x))]
+    df = spark.createDataFrame(rows, "pool string, i long, v array<double>")
+    assert [tuple(r) for r in V.distinct_k(df, "pool", "v", 0.5).select("n", "k").collect()] == [(10_050, 4)]
+    assert [tuple(r) for r in V.sensitivity(df, "pool", "v", 0.5, 0.4).select("k_low", "k", "k_high").collect()] == [(4, 4, 1)]
+    got = {r.i: r.cluster for r in V.clusters(df, "pool", "i", "v", 0.5).collect()}
+    assert got == {i: [0, 2600, 5150, 7650][int(x[i].argmax())] for i in range(len(x))}
+    assert V.rarefied_k(df, "pool", "v", 40, 0.5, rounds=2, order="i").first()["mean_k"] == 4
