@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from poolstat.operators import clustering
+from poolstat.operators import clustering, judging
 from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
 
@@ -48,3 +48,28 @@ def test_pools_over_ten_thousand(spark):
     got = {r.i: r.cluster for r in V.clusters(df, "pool", "i", "v", 0.5).collect()}
     assert got == {i: [0, 2600, 5150, 7650][int(x[i].argmax())] for i in range(len(x))}
     assert V.rarefied_k(df, "pool", "v", 40, 0.5, rounds=2, order="i").first()["mean_k"] == 4
+
+
+def test_a_split_holds_no_reviews(spark):
+    """Lists are split by themselves: no task of a group takes its reviews, and the streams are those of the whole group."""
+    rng = np.random.default_rng(4)
+    lists = [[float(x) / 10 for x in rng.integers(1, 99, int(rng.integers(2, 7)))] for _ in range(24)]
+    df = spark.createDataFrame([("t", i, x) for i, x in enumerate(lists)], "g string, i int, s array<double>").repartition(3)
+    out = judging.interval(df, "g", "i", "s", draws=12, splits=3)
+    tasks = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapGroupsInPandas" in x]
+    assert tasks and not any("_x#" in x for x in tasks)
+    got = out.first()
+    values = []
+    for d in range(12):
+        own = [lists[int(judging.mulberry32_draws(2, d * 24 + j, 1)[0] * 24)] for j in range(24)]
+        seed, at, total = (2 * 1_000_003 + d + 1) & 0xFFFFFFFF, 0, 0.0
+        for _ in range(3):
+            pair = []
+            for x in own:
+                mixed = judging._shuffled(x, judging.mulberry32_draws(seed, at, len(x) - 1))
+                at, h = at + len(x) - 1, len(x) // 2
+                pair.append((sum(mixed[:h]) / h, sum(mixed[h:]) / (len(x) - h)))
+            total += judging._accuracy(np.array([p[0] for p in pair]), np.array([p[1] for p in pair]), 6)
+        values.append(total / 3)
+    values.sort()
+    assert (got["n"], round(got["lower"], 12), round(got["upper"], 12)) == (24, round(values[0], 12), round(values[11], 12))
