@@ -4,13 +4,15 @@ Events: cell, batch, kind, at. `submit` leaves a record of a batch's handle; `re
 older than the retention; `retire` takes it away; a record that nobody took expires. Events take effect in the order of
 their times (submit before reply before retire before expiry at one time) once the watermark has passed them, so files may
 come in any order within the watermark's delay, and a restart goes on from the checkpoint. An event behind the watermark is
-dropped. Outcomes: held (again, if the batch is held already), replayed, late (a reply to nothing that is held: expired,
+dropped. Batches do not touch each other, so state is keyed by a hash of cell and batch in PARTS parts, few cells as many
+alike. Outcomes: held (again, if the batch is held already), replayed, late (a reply to nothing that is held: expired,
 taken, retired or never sent), retired, idle (nothing to retire), expired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,20 +21,23 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 KINDS = ("submit", "reply", "retire", "expire")
 ROW = "cell string, batch string, kind string, at timestamp, outcome string"
+#: keys of the state; a part's records are read and written whole in each of its steps
+PARTS = 256
 STEP = "cell string, batch string, kind string, ms long, outcome string"
 COLUMNS = [c.split()[0] for c in STEP.split(", ")]
 
 
-def settle(events: list[tuple[int, int, str]], held: dict[str, int], until: int, retention: int) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str]]]:
+def settle(events: list[tuple[int, int, str]], held: dict, until: int, retention: int) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str]]]:
     """(rows, events left): what events (time, place of the kind, batch) up to `until` come to, in order; `held` is kept up to date."""
-    rows, todo = [], sorted(events)
+    rows, todo = [], list(events)
+    heapify(todo)
     while todo and todo[0][0] <= until:
-        at, kind, batch = todo.pop(0)
+        at, kind, batch = heappop(todo)
         if kind == 0:
             outcome = "again" if batch in held else "held"
             if outcome == "held":
                 held[batch] = at
-                todo = sorted([*todo, (at + retention + 1, 3, batch)])
+                heappush(todo, (at + retention + 1, 3, batch))
         elif kind == 3:
             if held.get(batch, at) + retention + 1 != at:
                 continue  # it was taken, or is another record by now
@@ -44,7 +49,16 @@ def settle(events: list[tuple[int, int, str]], held: dict[str, int], until: int,
         else:
             outcome = "late" if kind == 1 else "idle"
         rows.append((at, kind, batch, outcome))
-    return rows, todo
+    return rows, sorted(todo)
+
+
+def named(cell: str | None, batch: str | None) -> tuple:
+    """A batch of a cell as a tuple that sorts, nulls too."""
+    return cell is not None, cell or "", batch is not None, batch or ""
+
+
+def plain(name: tuple) -> tuple[str | None, str | None]:
+    return name[1] if name[0] else None, name[3] if name[2] else None
 
 
 class Replays(StatefulProcessor):
@@ -53,30 +67,28 @@ class Replays(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, kind int, batch string")
-        self.held = handle.getMapState("held", "batch string", "at long")
+        self.waiting = handle.getListState("waiting", "at long, kind int, cell string, batch string")
+        self.held = handle.getListState("held", "cell string, batch string, at long")
 
-    def step(self, key, more: list[tuple[int, int, str]], watermark: int) -> Iterator[pd.DataFrame]:
-        waiting = [(int(a), int(k), b) for a, k, b in self.waiting.get()] + more
-        was = {k[0]: int(v[0]) for k, v in self.held.iterator()}
-        held = dict(was)
+    def step(self, more: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        waiting = [(int(a), int(k), named(c, b)) for a, k, c, b in self.waiting.get()] + more
+        held = {named(c, b): int(at) for c, b, at in self.held.get()}
+        was = dict(held)
         rows, left = settle(waiting, held, watermark, self.retention)
-        for batch in set(was) - set(held):
-            self.held.removeKey((batch,))
-        for batch, at in held.items():
-            if was.get(batch) != at:
-                self.held.updateValue((batch,), (at,))
-        self.waiting.put(left) if left else self.waiting.clear()
+        if held != was:
+            self.held.put([(*plain(n), at) for n, at in held.items()]) if held else self.held.clear()
+        if more or rows:
+            self.waiting.put([(a, k, *plain(n)) for a, k, n in left]) if left else self.waiting.clear()
         if left:
             self.handle.registerTimer(max(left[0][0], watermark + 1))
-        yield pd.DataFrame([(key[0], b, KINDS[k], a, o) for a, k, b, o in rows], columns=COLUMNS)
+        yield pd.DataFrame([(*plain(n), KINDS[k], a, o) for a, k, n, o in rows], columns=COLUMNS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        more = [(int(ms), KINDS.index(kind), batch) for part in rows for ms, kind, batch in zip(part["ms"], part["kind"], part["batch"])]
-        yield from self.step(key, more, timerValues.getCurrentWatermarkInMs())
+        more = [(int(ms), KINDS.index(kind), named(cell, batch)) for part in rows for ms, kind, cell, batch in zip(part["ms"], part["kind"], part["cell"], part["batch"])]
+        yield from self.step(more, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self.step(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self.step([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -84,6 +96,7 @@ class Replays(StatefulProcessor):
 
 def replays(events: DataFrame, retention: int, late: str = "1 day") -> DataFrame:
     """Stream of events(cell, batch, kind, at) -> stream of rows; retention in days. Needs the RocksDB state store."""
-    keyed = events.select("cell", "batch", "kind", "at", F.unix_millis("at").alias("ms")).withWatermark("at", late).groupBy("cell")
+    part = F.pmod(F.xxhash64("cell", "batch"), F.lit(PARTS)).cast("int").alias("part")
+    keyed = events.select(part, "cell", "batch", "kind", "at", F.unix_millis("at").alias("ms")).withWatermark("at", late).groupBy("part")
     out = keyed.transformWithStateInPandas(Replays(retention * 86_400_000), STEP, "append", "EventTime")
     return out.select("cell", "batch", "kind", F.timestamp_millis("ms").alias("at"), "outcome")
