@@ -6,12 +6,15 @@ spends under. An admitted ask is held; `spend` adds what was really paid, and sa
 gives the hold back, and does nothing where there is none. Every event gives one row: its outcome and the run's book after
 it. Events that come before their turn wait, repeats are passed over, so files may arrive in any order and any batches.
 
-A run's book is one key's state, as each decision needs all before it; runs are spread over tasks.
+A run's book is one key's state, as each decision needs all before it; runs are spread over tasks. Events that wait lie in
+the state store by blocks of their numbers; a task holds HELD new ones and one block, however long the run.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +23,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 EVENT = "run string, seq long, kind string, cell string, shares array<struct<provider: string, usd: double>>"
 ROW = "run string, seq long, kind string, cell string, outcome string, spent double, held double"
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
+#: numbers in a block of waiting events; events that are held before they go to their blocks
+BLOCK, HELD = 4096, 100_000
 
 
 class Book:
@@ -77,23 +82,43 @@ class Reservations(StatefulProcessor):
         self.next = handle.getValueState("next", "seq long")
         self.spent = handle.getMapState("spent", "provider string", "usd double")
         self.holds = handle.getMapState("holds", "cell string", "providers array<string>, usd array<double>")
-        self.waiting = handle.getMapState("waiting", "seq long", "kind string, cell string, providers array<string>, usd array<double>")
+        self.pieces = handle.getMapState("pieces", "block long", "n int")
+        self.waiting = handle.getMapState("waiting", "block long, piece int", "events string")
+
+    def wait(self, events: list[list]) -> None:
+        """Put events(seq, kind, cell, shares) into their blocks, a piece for each; nothing is read but the number of pieces."""
+        for block, own in groupby(sorted(events, key=lambda e: e[0]), key=lambda e: e[0] // BLOCK):
+            n = self.pieces.getValue((block,))[0] if self.pieces.containsKey((block,)) else 0
+            self.waiting.updateValue((block, n), (json.dumps(list(own)),))
+            self.pieces.updateValue((block,), (n + 1,))
+
+    def turns(self, book: Book) -> Iterator[list[list]]:
+        """Events of the block whose turn it is, in order, as long as the book comes to a block's end."""
+        while self.pieces.containsKey((block := book.next // BLOCK,)):
+            n = self.pieces.getValue((block,))[0]
+            yield sorted((e for k in range(n) for e in json.loads(self.waiting.getValue((block, k))[0])), key=lambda e: e[0])
+            if book.next // BLOCK == block:
+                return  # its next event is yet to come
+            for k in range(n):
+                self.waiting.removeKey((block, k))
+            self.pieces.removeKey((block,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         got = self.next.get()
         spent = {k[0]: v[0] for k, v in self.spent.iterator()}
         holds = {k[0]: dict(zip(v[0], v[1])) for k, v in self.holds.iterator()}
-        book = Book(self.total, self.ceilings, got[0] if got else 0, dict(spent), {c: dict(s) for c, s in holds.items()})
-        waiting = {k[0]: (v[0], v[1], dict(zip(v[2], v[3]))) for k, v in self.waiting.iterator()}
-        early, out = set(waiting), []
+        book, new = Book(self.total, self.ceilings, got[0] if got else 0, dict(spent), {c: dict(s) for c, s in holds.items()}), []
         for part in rows:
             for seq, kind, cell, shares in zip(part["seq"], part["kind"], part["cell"], part["shares"]):
                 if seq >= book.next:
-                    waiting.setdefault(int(seq), (kind, cell, summed(shares)))
-        while book.next in waiting:
-            seq = book.next
-            kind, cell, shares = waiting.pop(seq)
-            out.append(book.row(key[0], seq, kind, cell, book.take(kind, cell, shares)))
+                    new.append([int(seq), kind, cell, list(summed(shares).items())])
+            if len(new) >= HELD:
+                self.wait(new)
+                new = []
+        self.wait(new)
+        for events in self.turns(book):
+            out = [book.row(key[0], seq, kind, cell, book.take(kind, cell, dict(shares))) for seq, kind, cell, shares in events if seq == book.next]
+            yield pd.DataFrame(out, columns=COLUMNS)
         self.next.update((book.next,))
         for p, usd in book.spent.items():
             if spent.get(p) != usd:
@@ -102,12 +127,6 @@ class Reservations(StatefulProcessor):
             self.holds.removeKey((c,))
         for c in set(book.holds) - set(holds):
             self.holds.updateValue((c,), (list(book.holds[c]), list(book.holds[c].values())))
-        for seq in early - set(waiting):
-            self.waiting.removeKey((seq,))
-        for seq in set(waiting) - early:
-            kind, cell, shares = waiting[seq]
-            self.waiting.updateValue((seq,), (kind, cell, list(shares), list(shares.values())))
-        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
@@ -120,18 +139,21 @@ def reserve(events: DataFrame, total: float | None = None, ceilings: dict[str, f
 
 
 def booked(events: DataFrame, total: float | None = None, ceilings: dict[str, float] | None = None) -> DataFrame:
-    """The same rows of a table of events that is all there."""
-
-    def book(part: pd.DataFrame) -> pd.DataFrame:
-        state, out = Book(total, ceilings or {}), []
-        part = part.drop_duplicates("seq").sort_values("seq")
-        for run, seq, kind, cell, shares in zip(part["run"], part["seq"], part["kind"], part["cell"], part["shares"]):
-            if seq != state.next:
-                break
-            out.append(state.row(run, seq, kind, cell, state.take(kind, cell, summed(shares))))
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    return events.select("run", "seq", "kind", "cell", "shares").groupBy("run").applyInPandas(book, ROW)
+    """The same rows of a table of events that is all there: sorted by run and number, and read once; a task holds one book."""
+
+    def book(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state = object(), Book(None, {})
+        for part in parts:
+            out = []
+            for run, seq, kind, cell, shares in zip(part["run"], part["seq"], part["kind"], part["cell"], part["shares"]):
+                if run != own:
+                    own, state = run, Book(total, ceilings or {})
+                if seq == state.next:  # not a repeat, nor behind a gap
+                    out.append(state.row(run, seq, kind, cell, state.take(kind, cell, summed(shares))))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    rows = events.where("seq is not null").select("run", "seq", "kind", "cell", "shares")
+    return rows.repartition("run").sortWithinPartitions("run", "seq").mapInPandas(book, ROW)
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -9,7 +9,7 @@ import pytest
 from poolstat.operators import clustering, judging
 from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
-from poolstat.streaming import replays
+from poolstat.streaming import replays, reservations
 
 
 def test_step_up_reads_no_frame_to_the_end(spark):
@@ -83,3 +83,35 @@ def test_replays_of_one_cell_take_no_sort_each():
     rows, left = replays.settle(events, {}, 10**9, 60)
     assert len(rows) == 80_000 and not left and {r[3] for r in rows} == {"held", "replayed"}
     assert time.process_time() - start < 5
+
+
+class Kept(dict):
+    """A map state in memory that tells the longest value it gave."""
+
+    most = 0
+    containsKey, removeKey = dict.__contains__, dict.__delitem__  # noqa: N815
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key] = value
+
+    def getValue(self, key):  # noqa: N802
+        Kept.most = max(Kept.most, len(str(self[key][0])))
+        return self[key]
+
+
+def test_waiting_events_are_read_by_blocks():
+    """A run whose first event comes last: all wait in the store, and are taken a block at a time."""
+    state, book, n = reservations.Reservations(None, {}), reservations.Book(None, {}), 5 * reservations.BLOCK + 7
+    state.pieces, state.waiting = Kept(), Kept()
+    order = [int(k) for k in np.random.default_rng(2).permutation(np.arange(1, n))] + [0, 3, n - 1]  # two repeats
+    for k in range(0, len(order), 3000):
+        assert not list(e for e in state.turns(book) for e in e if e[0] == book.next)
+        state.wait([[s, "ask", f"c{s}", [("a", 1.0)]] for s in order[k : k + 3000]])
+    seen = []
+    for events in state.turns(book):
+        assert len(events) <= reservations.BLOCK + 2
+        for e in events:
+            if e[0] == book.next:
+                book.next += 1
+                seen.append(e[0])
+    assert seen == list(range(n)) and set(state.pieces) == {(5,)} and Kept.most < 40 * 3000
