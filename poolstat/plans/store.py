@@ -11,7 +11,7 @@ from poolstat.operators import joins as J
 from poolstat.operators import ledger as L
 from poolstat.sources import store as S
 from poolstat.sources.keyed import Keyed
-from poolstat.sources.tables import shared_dir, table
+from poolstat.sources.tables import shared_dir, table, written
 
 from . import views as V
 
@@ -60,7 +60,7 @@ def _frame(s, d):
 def _keyed(s, d):
     """Two puts of bodies, the second with half of the first again, then the bodies of some keys."""
     store = Keyed(s, f"{shared_dir(s)}/keyed-{uuid.uuid4().hex}", 16)
-    bodies = records(s, d).select("key", "state", F.to_json(F.struct("event_id", "value")).alias("body"), "replicate")
+    bodies = written(records(s, d).select("key", "state", F.to_json(F.struct("event_id", "value")).alias("body"), "replicate"))
     store.put(bodies.where("replicate < 2"))
     store.put(bodies.where("replicate > 0"))
     return store.of(bodies.where("state = 'failed'")).select("key", "state", F.get_json_object("body", "$.event_id").cast("long").alias("event_id"))

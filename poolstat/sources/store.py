@@ -14,6 +14,7 @@ from poolstat.errors import ConflictingRecord, PoolstatError, check
 from poolstat.functions.documents import canonical_json
 from poolstat.functions.keys import body_file
 from poolstat.functions.text import normalize_id, normalize_title, strip_mapping_extension, title_line
+from poolstat.sources.tables import written
 
 INDEX = "key string, bodyFile string, state string, armId string, briefId string, replicate bigint, cfg string, storedAt string"
 
@@ -66,11 +67,11 @@ def put_plan(stored: DataFrame, records: DataFrame) -> DataFrame:
 
     stored(key, body), records(key, state, body, ...), bodies as JSON text, compared in canonical form.
     """
-    new = validated(records).withColumn("body", canonical_json("body"))
+    new = written(validated(records).withColumn("body", canonical_json("body")))  # what comes in is made once, not for each check
     twice = new.groupBy("key").agg(F.count_distinct("body").alias("n")).where("n > 1")
     check(twice.isEmpty(), f"several contents for keys {[r['key'] for r in twice.limit(5).collect()]}", ConflictingRecord)
     old = stored.select("key", canonical_json("body").alias("_old"))
-    plan = new.dropDuplicates(["key"]).join(old, "key", "left")
+    plan = written(new.dropDuplicates(["key"]).join(old, "key", "left"))
     lost = plan.where(F.col("_old").isNotNull() & (F.col("_old") != F.col("body")))
     check(lost.isEmpty(), f"stored with other content: {[r['key'] for r in lost.limit(5).collect()]}", ConflictingRecord)
     return plan.withColumn("outcome", F.when(F.col("_old").isNull(), "written").otherwise("unchanged")).drop("_old")

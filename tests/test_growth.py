@@ -5,10 +5,12 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolstat.operators import clustering, judging
 from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
+from poolstat.sources.keyed import Keyed
 from poolstat.streaming import replays, reservations
 
 
@@ -115,3 +117,17 @@ def test_waiting_events_are_read_by_blocks():
                 book.next += 1
                 seen.append(e[0])
     assert seen == list(range(n)) and set(state.pieces) == {(5,)} and Kept.most < 40 * 3000
+
+
+def test_a_put_makes_its_records_once(spark, tmp_path):
+    """The checks of a put and its write share one reading of what comes in."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(i):
+        made.add(1)
+        return f'{{"i":{i}}}'
+
+    rows = spark.range(60).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("completed").alias("state"), body("id").alias("body"))
+    told = Keyed(spark, f"{tmp_path}/store", 4).put(rows).collect()
+    assert len(told) == 60 and {r.outcome for r in told} == {"written"} and made.value == 60
