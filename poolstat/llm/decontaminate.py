@@ -4,9 +4,9 @@ TF-IDF passages (PASSAGE words, half overlapping) are projected on a basis from
 passage of a document is compared with every benchmark passage by cosine. A pair at LATENT or more is a candidate by
 itself, so a paraphrase is found whose rare words were all replaced; for that the item's passage must be half a passage
 long. A pair at COSINE or more is one if it passes the answer check (half of the item's rarest words must occur); the
-check's counts come from an inverted index of these words. A longest common subsequence over words decides. Idf and checks
-cover all documents, each text whole; the basis is fitted on a sample of about SAMPLE passages of whole documents and as
-many of items.
+check's counts come from an inverted index of these words. A longest common subsequence over words decides. Idf, basis and
+checks cover all documents, each text whole, and the basis all items too; texts are cut into terms once, the two rounds of
+the fit read these.
 Items are searched ITEMS at a time, each round over all documents.
 
 Defined results: null and wordless texts and items match nothing; a row of documents is reported once per item_id, with
@@ -17,7 +17,7 @@ empty table gives no rows; repeated rows are reported each; other columns are ig
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -29,12 +29,17 @@ from .common import written
 from .shingling import word_hashes, word_spans
 
 PASSAGE, TERMS, RANK, SEED = 48, 1 << 13, 96, 5
-COSINE, LATENT, LCS, ANSWERS, SAMPLE, ITEMS = 0.3, 0.65, 0.7, 4, 20_000, 20_000
+COSINE, LATENT, LCS, ANSWERS, ITEMS = 0.3, 0.65, 0.7, 4, 20_000
 #: pairs of a text that are compared at once; bits of a set of words
 PAIRS, MARKS = 1 << 22, 512
+#: stands in the column of terms where a row holds a text
+TEXT = -2
+#: characters of texts that are hashed and projected together
+TOGETHER = 1 << 16
 HALF, SIEVE = PASSAGE // 2, (1 << 20) - 1
-#: words of a text that are projected at once, in whole halves
-CHUNK = 48 * HALF
+#: half passages of a text that are projected at once; half passages that a round of the fit adds up at once, rows of a sum that are
+#: added at once, and how many are padded together
+CHUNK, BATCH, ROWS, RUN = 32, 10_000, 2048, 16
 #: all that is neither an ASCII letter or digit nor beyond ASCII parts words; other signs beyond ASCII are blanked before
 APART = np.array([not chr(c).isalnum() if c < 128 else False for c in range(256)])
 SIGNS = re.compile(r"[^\w\x00-\x7f]+")
@@ -43,11 +48,32 @@ RESULT = "doc_id long, item_id long, overlap double, cosine double, at_word int"
 
 def words(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words (runs of letters and digits) of a text."""
-    low = (text or "").lower()
-    if not low.isascii():
-        low = SIGNS.sub(" ", low)
-    data = np.frombuffer(low.encode("utf-8", "replace"), dtype=np.uint8)
-    return word_hashes(data, *word_spans(data, APART))
+    return words_each([text])[0]
+
+
+def words_each(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """The words of each text; texts are hashed together."""
+    parts = []
+    for text in texts:
+        low = (text or "").lower()
+        parts.append((low if low.isascii() else SIGNS.sub(" ", low)).encode("utf-8", "replace"))
+    data = np.frombuffer(b"\n".join(parts), dtype=np.uint8)
+    starts, ends = word_spans(data, APART)
+    begins = np.cumsum([len(x) + 1 for x in parts[:-1]], dtype=np.int64)
+    return np.split(word_hashes(data, starts, ends), np.searchsorted(starts, begins))
+
+
+def some(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """Texts in lists of about TOGETHER characters; a longer one is a list by itself."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def terms(w: np.ndarray) -> np.ndarray:
@@ -66,6 +92,14 @@ def marks(w: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks_of_halves(w: np.ndarray) -> np.ndarray:
+    """The marks of each half passage of a text, together."""
+    halves = -(-len(w) // HALF)
+    hit = np.zeros(halves * MARKS, dtype=bool)
+    hit[np.arange(len(w)) // HALF * MARKS + (w & np.uint64(MARKS - 1)).astype(np.int64)] = True
+    return np.packbits(hit, bitorder="little").view("<u8").reshape(halves, -1)
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Longest common subsequence, bit-parallel over the words of a."""
     masks: dict[int, int] = {}
@@ -79,77 +113,169 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def document_terms(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Frequency of each term over the half passages of all documents, and their number."""
+def document_terms(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """The terms of every text (as `cut` writes them), the frequency of each over the half passages of all documents, and their number."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(TERMS, dtype=np.int64), 0
 
         def take(held: list[np.ndarray]) -> int:
             at = np.concatenate([np.arange(len(t)) // HALF + k for t, k in zip(held, np.cumsum([0] + [-(-len(t) // HALF) for t in held]))])
-            key = np.sort(at * TERMS + np.concatenate(held))
+            key = at * TERMS + np.concatenate(held)
+            key = np.sort(key.astype(np.int32) if at[-1] < 1 << 17 else key)
             key = key[np.concatenate([[True], key[1:] != key[:-1]])]
             df[:] += np.bincount(key % TERMS, minlength=TERMS)
             return int(at[-1]) + 1
 
         for part in parts:
-            held, size = [], 0
-            for text in part["text"]:
-                t = terms(words(text))
+            held, size, every = [], 0, []
+            for w in (w for texts in some(part["text"]) for w in words_each(texts)):
+                t = terms(w)
                 if len(t):
                     held.append(t)
+                    every.append(t.astype("<u2").tobytes())
                     size += len(t)
                 if size > 1 << 18:
                     n += take(held)
                     held, size = [], 0
             if held:
                 n += take(held)
+            yield pd.DataFrame({"term": TEXT, "n": 1, "terms": every})
         hit = np.flatnonzero(df)
-        yield pd.DataFrame({"term": np.r_[hit, -1], "n": np.r_[df[hit], n]})
+        yield pd.DataFrame({"term": np.r_[hit, -1], "n": np.r_[df[hit], n], "terms": None})
 
-    rows = dict(docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # TERMS + 1 rows at most
+    step = written(docs.select("text").mapInPandas(count, "term long, n long, terms binary"))
+    rows = dict(step.where(F.col("term") != TEXT).groupBy("term").agg(F.sum("n")).collect())  # TERMS + 1 rows at most
     n = rows.pop(-1, 0)
     out = np.zeros(TERMS)
     out[list(rows)] = list(rows.values())
-    return out, n
+    return step.where(F.col("term") == TEXT).select("terms"), out, n
+
+
+def cut(texts: DataFrame) -> DataFrame:
+    """terms: of each text with words, two bytes a word."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"terms": [t.astype("<u2").tobytes() for t in (terms(w) for texts in some(part["text"]) for w in words_each(texts)) if len(t)]})
+
+    return written(texts.select("text").mapInPandas(each, "terms binary"))
+
+
+def row_sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each row of `rows`, the sum of the rows of `table` that it names."""
+    out = np.empty((len(rows), table.shape[1]), dtype=table.dtype)
+    for at in range(0, len(rows), ROWS):
+        part = rows[at : at + ROWS]
+        own, one = out[at : at + ROWS], np.empty((len(part), table.shape[1]), dtype=table.dtype)
+        np.take(table, part[:, 0], axis=0, out=own, mode="clip")
+        for k in range(1, part.shape[1]):
+            own += np.take(table, part[:, k], axis=0, out=one, mode="clip")
+    return out
+
+
+def run_sums(table: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of the rows `at` of `table` over consecutive runs of `times` rows: RUN rows at once, and their sums again."""
+    while True:
+        table = np.concatenate([table, np.zeros((1, table.shape[1]), dtype=table.dtype)])
+        many = -(-times // RUN)
+        rows = np.full(int(many.sum()) * RUN, len(table) - 1)
+        rows[np.arange(len(at)) + np.repeat((np.cumsum(many) - many) * RUN - (np.cumsum(times) - times), times)] = at
+        table = row_sums(table, rows.reshape(-1, RUN))
+        if (many == 1).all():
+            return table
+        at, times = np.arange(len(table)), many
+
+
+def pieces(t: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of a text of BATCH passages at most; each passage is whole in one of them."""
+    n = len(passage_starts(len(t)))
+    return (t[at * HALF : (min(at + BATCH, n) + 1) * HALF] for at in range(0, n, BATCH))
+
+
+def power(texts: list[np.ndarray], idf: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that occur in the passages A of some texts, and their rows of A'(AQ), without the factor idf of the row; own: idf times Q, and a row of zeros."""
+    sizes, t = np.array([len(x) for x in texts]), np.concatenate(texts).astype(np.int64)
+    halves = -(-sizes // HALF)
+    ends = np.cumsum(halves)
+    at = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    half = np.repeat(ends - halves, sizes) + at // HALF
+    rows = np.full((ends[-1], 2 * HALF), TERMS, dtype=np.int32)
+    rows[half, at % HALF] = t
+    goes_on = np.ones(ends[-1], dtype=bool)
+    goes_on[ends - 1] = False
+    pair = np.flatnonzero(goes_on)  # halves whose passage takes in the next one
+    rows[pair, HALF:] = rows[pair + 1, :HALF]
+    held = row_sums(own, rows[:, :HALF])
+    # length of a passage: a word's k-th time adds 2k - 1 times its idf squared, which makes tf squared together
+    word = np.sort(rows, axis=1)
+    place = np.arange(2 * HALF, dtype=np.int32)
+    first = np.zeros(word.shape, dtype=np.int32)
+    first[:, 1:] = np.where(word[:, 1:] != word[:, :-1], place[1:], 0)
+    times = 2 * (place - np.maximum.accumulate(first, axis=1)) + 1
+    squared = np.einsum("ij,ij->i", np.append(idf * idf, 0.0)[word], times)
+    weight = np.zeros(ends[-1])
+    passage = goes_on.copy()
+    passage[ends[halves == 1] - 1] = True
+    weight[passage] = 1 / squared[passage]
+    held[pair] += held[pair + 1]
+    held *= weight.astype("float32")[:, None]
+    both = held.copy()
+    both[pair + 1] += held[pair]
+    order = np.argsort(t.astype(np.uint16), kind="stable")
+    word, times = np.unique(t[order], return_counts=True)
+    return word, run_sums(both, half[order], times)
 
 
 def basis(texts: DataFrame, idf: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Randomised SVD: the leading right singular vectors (TERMS x RANK) of the TF-IDF passages of `texts`.
+    """Randomised SVD: the leading right singular vectors (TERMS x RANK) of the TF-IDF passages of `texts` (terms, as `cut` writes them).
 
     Each partition adds up its part of A'(AQ), TERMS x RANK numbers; Spark sums the parts.
     """
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((TERMS, RANK)))[0]
     names = [f"z{k}" for k in range(RANK)]
     for _ in range(rounds):
-        shared = texts.sparkSession.sparkContext.broadcast(q.astype("float32"))
+        shared = texts.sparkSession.sparkContext.broadcast((idf, with_zeros(idf[:, None] * q)))
+
+        def add(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            (idf, own), z = shared.value, np.zeros((TERMS, RANK))
 
-        def power(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, z = shared.value, np.zeros((TERMS, RANK), dtype="float32")
+            def take(held: list[np.ndarray]):
+                word, sums = power(held, idf, own)
+                z[word] += sums * idf[word, None]
+
+            held, size = [], 0
             for part in parts:
-                for text in part["text"]:
-                    t = terms(words(text))
-                    for at in passage_starts(len(t)):
-                        p, tf = np.unique(t[at : at + PASSAGE], return_counts=True)
-                        x = (tf * idf[p]).astype("float32")
-                        x /= np.linalg.norm(x)
-                        z[p] += np.outer(x, x @ own[p])
+                for raw in part["terms"]:
+                    for t in pieces(np.frombuffer(raw, dtype="<u2")):
+                        held.append(t)
+                        size += len(t)
+                        if size >= BATCH * HALF:
+                            take(held)
+                            held, size = [], 0
+            if held:
+                take(held)
             hit = np.flatnonzero(np.abs(z).sum(axis=1))
             yield pd.DataFrame(np.column_stack([hit, z[hit]]), columns=["term", *names])
 
-        summed = texts.mapInPandas(power, ", ".join(f"{c} double" for c in ["term", *names])).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+        summed = texts.mapInPandas(add, ", ".join(f"{c} double" for c in ["term", *names])).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
         z = np.zeros((TERMS, RANK))
         for r in summed.collect():  # TERMS rows of RANK numbers at most
             z[int(r[0])] = r[1:]
         q = np.linalg.qr(z)[0]
-    return q.astype("float32")
+    return q
+
+
+def with_zeros(table: np.ndarray) -> np.ndarray:
+    """In single precision, with a row of zeros behind it, which stands for no word."""
+    return np.concatenate([table, np.zeros((1, table.shape[1]))]).astype("float32")
 
 
 class Index:
     """Windows of up to ITEMS items: latent vectors, words, and an inverted index of their rarest words."""
 
     def __init__(self, items: list[tuple], idf: np.ndarray, latent: np.ndarray):
-        self.latent = latent  # idf times the basis: a passage's vector is the sum over its words
+        self.latent = latent  # idf times the basis, with_zeros: a passage's vector is the sum over its words
         self.ids, self.windows, self.bags, self.rare = [], [], [], []
         for item, text in items:
             w = words(text)
@@ -175,8 +301,9 @@ class Index:
         pairs.sort(order="h")
         self.keys, first, self.times = np.unique(pairs["h"], return_index=True, return_counts=True)
         self.first, self.holds = first, pairs["j"]
-        self.sieve = np.zeros(SIEVE + 1, dtype=bool)
-        self.sieve[(self.keys & np.uint64(SIEVE)).astype(np.int64)] = True
+        self.mask = np.uint64(min(SIEVE, (1 << (64 * len(self.keys)).bit_length()) - 1))  # a small sieve stays in the cache
+        self.sieve = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.sieve[(self.keys & self.mask).astype(np.int64)] = True
 
     def project(self, p: np.ndarray) -> np.ndarray:
         v = self.latent[terms(p)].sum(axis=0)
@@ -184,7 +311,7 @@ class Index:
 
     def promising(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(passage, window) pairs whose surroundings hold enough of the window's rare words, repeats counted."""
-        at = np.flatnonzero(self.sieve[(w & np.uint64(SIEVE)).astype(np.int64)])
+        at = np.flatnonzero(self.sieve[(w & self.mask).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.keys, w[at]), len(self.keys) - 1)
         own = self.keys[k] == w[at]
         at, k = at[own], k[own]
@@ -202,39 +329,61 @@ class Index:
         key = key[n >= self.need[key % len(self.windows)]]
         return key // len(self.windows), key % len(self.windows)
 
-    def passages(self, w: np.ndarray) -> np.ndarray:
-        """Latent vectors of a text's passages, of length 1: sums over half passages, two by two."""
-        t = terms(w)
-        halves = np.concatenate([np.add.reduceat(self.latent[t[at : at + CHUNK]], np.arange(0, len(t[at : at + CHUNK]), HALF), axis=0) for at in range(0, len(t), CHUNK)])
-        n = len(passage_starts(len(w)))
-        out = halves[:n].copy()
-        out[: len(halves) - 1] += halves[1 : n + 1]
+    def passages(self, ws: list[np.ndarray]) -> list[np.ndarray]:
+        """Latent vectors of the passages of texts with words, of length 1: sums over half passages, two by two."""
+        ends = np.cumsum([-(-len(w) // HALF) for w in ws])
+        rows = np.full(ends[-1] * HALF, TERMS)
+        for w, end in zip(ws, ends):
+            at = (end - -(-len(w) // HALF)) * HALF
+            rows[at : at + len(w)] = terms(w)
+        rows = rows.reshape(-1, HALF)
+        out = np.concatenate([np.take(self.latent, rows[at : at + CHUNK], axis=0, mode="clip").sum(axis=1) for at in range(0, len(rows), CHUNK)])
+        goes_on = np.ones(len(out), dtype=bool)
+        goes_on[ends - 1] = False
+        pair = np.flatnonzero(goes_on)
+        out[pair] += out[pair + 1]
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-        return out
+        return [x[: len(passage_starts(len(w)))] for w, x in zip(ws, np.split(out, ends[:-1]))]
 
-    def near(self, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, window) pairs at LATENT or more, of windows long enough to be told by it."""
+    def near(self, lats: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its (passage, window) pairs at LATENT or more, of windows long enough to be told by it."""
         if not len(self.long):
-            return self.long, self.long
-        step = max(1, PAIRS // len(self.long))
-        hits = [np.nonzero(lat[at : at + step] @ self.far >= LATENT) for at in range(0, len(lat), step)]
-        return np.concatenate([p + k * step for k, (p, _) in enumerate(hits)]), self.long[np.concatenate([j for _, j in hits])]
+            return [(self.long, self.long)] * len(lats)
+        lat = np.concatenate(lats)
+        step = max(1, min(CHUNK * 4, PAIRS // len(self.long)))
+        hits = [np.flatnonzero(lat[at : at + step] @ self.far >= LATENT) + at * len(self.long) for at in range(0, len(lat), step)]
+        p, j = np.divmod(np.concatenate(hits), len(self.long))
+        first = np.cumsum([0] + [len(x) for x in lats])
+        cuts = np.searchsorted(p, first[1:-1])
+        return [(q - at, k) for q, k, at in zip(np.split(p, cuts), np.split(self.long[j], cuts), first)]
+
+    def search_each(self, texts: Iterable[str | None], first: bool = False) -> Iterator[dict]:
+        """For each text item_id -> (overlap, cosine, at_word) of its best passage; with `first`, any one item."""
+        for group in some(texts):
+            ws = words_each(group)
+            held = [w for w in ws if len(w)] if self.windows else []
+            lats = self.passages(held) if held else []
+            found = zip(held, lats, self.near(lats) if held else [])
+            for w in ws:
+                yield self.told(*next(found), first) if held and len(w) else {}
 
     def search(self, text: str | None, first: bool = False) -> dict:
-        """item_id -> (overlap, cosine, at_word) of its best passage; with `first`, any one item."""
+        return next(self.search_each([text], first))
+
+    def told(self, w: np.ndarray, lat: np.ndarray, near: tuple[np.ndarray, np.ndarray], first: bool) -> dict:
+        """What a text's candidates come to."""
         out: dict = {}
-        w = words(text)
-        if not self.windows or not len(w):
-            return out
-        lat = self.passages(w)
-        key = np.unique(np.concatenate([p * len(self.windows) + j for p, j in (self.near(lat), self.promising(w))]))
-        ps, js = key // len(self.windows), key % len(self.windows)
+        ps, js = (np.concatenate(x) for x in zip(near, self.promising(w)))
         if len(ps):
-            own = np.bitwise_or.reduceat(marks(w), np.arange(0, len(w), HALF), axis=0)
+            own = marks_of_halves(w)
             own = np.concatenate([np.zeros((1, own.shape[1]), dtype=own.dtype), own, np.zeros((2, own.shape[1]), dtype=own.dtype)])
             wide = own[:-3] | own[1:-2] | own[2:-1] | own[3:]  # halves p - 1 .. p + 2
             fits = np.bitwise_count(wide[ps] & self.marks[js]).sum(axis=1) >= self.least[js]
             ps, js = ps[fits], js[fits]
+        if not len(ps):
+            return out
+        key = np.unique(ps * len(self.windows) + js)
+        ps, js = key // len(self.windows), key % len(self.windows)
         cos = np.einsum("ij,ij->i", lat[ps], self.target[js])
         for p, j, c in zip(ps, js, cos):
             if c < COSINE:
@@ -256,13 +405,9 @@ class Index:
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """A broadcast Index for each ITEMS items; idf and basis are made once."""
     spark = docs.sparkSession
-    df, n = document_terms(docs)
+    texts, df, n = document_terms(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # the basis alone is fitted on a sample: whole documents and items by hash, about SAMPLE passages of each
-    part = lambda d, k: d.select("text").where(F.pmod(F.xxhash64("text", *[c for c in ("doc_id", "item_id") if c in d.columns]), F.lit(max(1, k))) == 0)
-    items = benchmark.count()
-    sample = written(part(docs, round(n / SAMPLE)).unionByName(part(benchmark, round(items / SAMPLE))))
-    latent = (basis(sample, idf) * idf[:, None]).astype("float32")
+    latent = with_zeros(idf[:, None] * basis(texts.unionByName(cut(benchmark)), idf))
     rows = iter(benchmark.select("item_id", "text").toLocalIterator())
     while chunk := [tuple(r) for r in islice(rows, ITEMS)]:
         index = Index(chunk, idf, latent)
@@ -278,7 +423,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for part in parts:
-                found = [(doc, item, *hit) for doc, text in zip(part["doc_id"], part["text"]) for item, hit in shared.value.search(text).items()]
+                found = [(doc, item, *hit) for doc, hits in zip(part["doc_id"], shared.value.search_each(part["text"])) for item, hit in hits.items()]
                 got = pd.DataFrame(found, columns=["doc_id", "item_id", "overlap", "cosine", "at_word"])
                 yield got.astype({"doc_id": "Int64", "item_id": "Int64", "overlap": float, "cosine": float, "at_word": "int32"})
 
@@ -290,7 +435,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _clean(shared):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not shared.value.search(t, first=True) for t in texts], dtype=bool)
+        return pd.Series([not hits for hits in shared.value.search_each(texts, first=True)], dtype=bool)
 
     return clean
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from poolstat.llm import decontaminate
 from poolstat.llm.common import table
 
@@ -45,3 +47,45 @@ def test_marks_never_lose_a_pair(spark):
         there = decontaminate.np.bitwise_or.reduce(decontaminate.marks(wb), axis=0)
         shared = len(own & set(wb.tolist()))
         assert int(decontaminate.np.bitwise_count(bits & there).sum()) >= shared - (len(own) - int(decontaminate.np.bitwise_count(bits).sum()))
+
+
+def plain_power(texts, idf, q):
+    """A'(AQ) passage by passage."""
+    z = np.zeros(q.shape)
+    for t in texts:
+        for at in decontaminate.passage_starts(len(t)):
+            p, tf = np.unique(t[at : at + decontaminate.PASSAGE], return_counts=True)
+            x = tf * idf[p]
+            x = x / np.linalg.norm(x)
+            z[p] += np.outer(x, x @ q[p])
+    return z
+
+
+def test_a_round_of_the_fit_equals_its_plain_form(monkeypatch):
+    """Texts of all lengths about a half passage, frequent words, long texts in pieces."""
+    rng = np.random.default_rng(4)
+    idf, q = rng.random(decontaminate.TERMS) * 5 + 1, rng.standard_normal((decontaminate.TERMS, 7))
+    texts = [np.minimum(rng.zipf(1.3, n) - 1, decontaminate.TERMS - 1) for n in [1, 2, 23, 24, 25, 47, 48, 49, 71, 72, 73, 96, 97, 500, 3000]]
+    want = plain_power(texts, idf, q)
+    for batch in (1, 2, 5, 10_000):
+        monkeypatch.setattr(decontaminate, "BATCH", batch)
+        word, sums = decontaminate.power([p for t in texts for p in decontaminate.pieces(t)], idf, decontaminate.with_zeros(idf[:, None] * q))
+        got = np.zeros(want.shape)
+        got[word] = sums * idf[word, None]
+        assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
+
+
+def test_the_basis_is_fitted_on_every_passage(spark):
+    """More passages than the 20,000 that were once sampled; the second half of the documents has words of its own."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(150) + 150 * (i >= 20_000)}" for _ in range(5))) for i in range(40_000)]
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for i in range(20)]
+    index = next(decontaminate.indexes(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))).value
+    texts = [decontaminate.terms(decontaminate.words(t)) for _, t in docs + items]
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts[: len(docs)]]), minlength=decontaminate.TERMS)
+    idf = np.log((1 + len(docs)) / (1 + df)) + 1
+    q = np.linalg.qr(np.random.default_rng(decontaminate.SEED).standard_normal((decontaminate.TERMS, decontaminate.RANK)))[0]
+    for _ in range(2):
+        q = np.linalg.qr(plain_power(texts, idf, q))[0]
+    got = index.latent[: decontaminate.TERMS] / idf[:, None]
+    assert np.abs(np.abs(np.linalg.svd(got.T @ q)[1]) - 1).max() < 1e-3  # the same space
