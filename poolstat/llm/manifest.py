@@ -218,7 +218,7 @@ def checked(part: pd.DataFrame, paths: list[str], head: tuple) -> pd.DataFrame:
 
 def manifest(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(places of the leaves, parents of the trees, places of the trees' roots, parents above them)."""
-    places = placed(written(leaves(docs)), "doc_id", "leaf", "row")
+    places = placed(leaves(docs), "doc_id", "leaf", "row")
     nodes = build(places)
     subroots = roots(places, nodes).select(F.lit("").alias("tree"), F.col("tree").alias("tampered"), F.col("digest").alias("leaf"))
     above = placed(subroots, "tampered")  # the tree's name
@@ -230,7 +230,7 @@ def op11(docs: DataFrame) -> DataFrame:
     places, nodes, above, top = manifest(docs)
     nothing = F.lit(None).cast("long")
     summit = roots(above, top).select("tree", "n", F.lit("").alias("path"), nothing.alias("tpos"), nothing.alias("tn"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    heads = written(proofs(above, top, summit, top_paths, "name string, path string, tpos long, tn long, subroot string, root string"))
+    heads = proofs(above, top, summit, top_paths, "name string, path string, tpos long, tn long, subroot string, root string")
     sizes = roots(places, nodes).select(F.col("tree").alias("name"), "n")
     heads = written(heads.join(sizes, "name").select(F.col("name").alias("tree"), "n", *HEAD))
     out = proofs(places, nodes, heads, checked, "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")

@@ -121,3 +121,12 @@ def test_events_in_any_order():
         made += last.emitted()
         assert not last.frontier() and len(made) == sum(map(len, levels(digests)[1:]))
         assert {(r[2], r[3]): r[4] for r in made} == {(k + 1, i): d for k, level in enumerate(levels(digests)[1:]) for i, d in enumerate(level)}
+
+
+def test_leaves_are_written_once(spark, monkeypatch):
+    """Each file that a task writes locally spawns processes of the executor's size."""
+    made, own = [], manifest.written
+    monkeypatch.setattr(manifest, "written", lambda df: made.append(df.columns) or own(df))
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", i, None, None, None) for i in range(9)], DOC)
+    left = sum(zlib.crc32(str(i).encode()) % 7 != 0 for i in range(9))
+    assert manifest.op11(docs).where("verified").count() == left and sum("tampered" in c and "doc_id" in c and "leaf" in c for c in made) == 1
