@@ -195,15 +195,16 @@ def answers(shards: DataFrame, items: list[tuple[object, list[str]]], weights: d
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """item_id, rank, doc_id, score: each item's k documents of the highest scores above 0."""
-    wanted = written(terms_of(items))
+    wanted = terms_of(items)
     n_wanted = wanted.count()
     vocabulary = {r.term for r in wanted.select("term").distinct().collect()} if n_wanted <= MAX_TERMS else None
     shards = written(index(docs, vocabulary))
     total = shards.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_docs, n_terms = total[0] or 0, total[1] or 0
     counted = shards.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df"))
-    asked = written(wanted.join(counted, "term"))
     blocks = max(1, -(-n_wanted // MAX_TERMS))
+    kept = written if blocks > 1 else lambda df: df  # what is read once needs no table
+    asked = kept(wanted.join(counted, "term"))
     item_type, found = items.schema["item_id"].dataType.simpleString(), None
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect() if blocks > 1 else asked.collect()
@@ -211,7 +212,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         by_item: dict[object, list[str]] = {}
         for r in rows:
             by_item.setdefault(r.item_id, []).append(r.term)
-        got = written(answers(shards, [(i, sorted(t)) for i, t in by_item.items()], weights, k, n_docs, n_terms, item_type))
+        got = kept(answers(shards, [(i, sorted(t)) for i, t in by_item.items()], weights, k, n_docs, n_terms, item_type))
         found = got if found is None else found.union(got)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

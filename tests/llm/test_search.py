@@ -85,3 +85,11 @@ def test_wand_finds_the_best_and_skips():
             lists.append(([*places.tolist(), search.END], own.tolist(), int(own.max())))
         want = sorted(((s, -p) for p, s in total.items() if s > above), reverse=True)[:k]
         assert sorted(search.wand(lists, k, above), reverse=True) == want
+
+
+def test_one_block_writes_the_index_alone(spark, monkeypatch):
+    """Each file that a task writes locally spawns processes of the executor's size."""
+    made, own = [], search.written
+    monkeypatch.setattr(search, "written", lambda df: made.append(df.columns) or own(df))
+    docs, items = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string"), spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, text string")
+    assert len(search.search(docs, items).collect()) == 3 and len(made) == 1 and "places" in made[0]
