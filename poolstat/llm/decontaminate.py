@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -38,7 +39,7 @@ TEXT = -2
 TOGETHER = 1 << 16
 HALF, SIEVE = PASSAGE // 2, (1 << 20) - 1
 #: half passages of a text that are projected at once; half passages that a round of the fit adds up at once, rows of a sum that are
-#: added at once, and how many are padded together
+#: added at once, and how many rows make a run
 CHUNK, BATCH, ROWS, RUN = 32, 10_000, 2048, 16
 #: all that is neither an ASCII letter or digit nor beyond ASCII parts words; other signs beyond ASCII are blanked before
 APART = np.array([not chr(c).isalnum() if c < 128 else False for c in range(256)])
@@ -51,12 +52,28 @@ def words(text: str | None) -> np.ndarray:
     return words_each([text])[0]
 
 
+@cache
+def signs() -> np.ndarray:
+    """For each code point whether it is one of SIGNS."""
+    out = np.zeros(0x110000, dtype=bool)
+    for run in SIGNS.finditer("".join(map(chr, range(0x110000)))):
+        out[run.start() : run.end()] = True
+    return out
+
+
+def without_signs(text: str) -> str:
+    """The text with a blank for each of SIGNS."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    hit = np.take(signs(), points)
+    return np.where(hit, np.uint32(32), points).tobytes().decode("utf-32-le") if hit.any() else text
+
+
 def words_each(texts: Iterable[str | None]) -> list[np.ndarray]:
     """The words of each text; texts are hashed together."""
     parts = []
     for text in texts:
         low = (text or "").lower()
-        parts.append((low if low.isascii() else SIGNS.sub(" ", low)).encode("utf-8", "replace"))
+        parts.append((low if low.isascii() else without_signs(low)).encode("utf-8"))
     data = np.frombuffer(b"\n".join(parts), dtype=np.uint8)
     starts, ends = word_spans(data, APART)
     begins = np.cumsum([len(x) + 1 for x in parts[:-1]], dtype=np.int64)
@@ -92,12 +109,27 @@ def marks(w: np.ndarray) -> np.ndarray:
     return out
 
 
-def marks_of_halves(w: np.ndarray) -> np.ndarray:
-    """The marks of each half passage of a text, together."""
-    halves = -(-len(w) // HALF)
-    hit = np.zeros(halves * MARKS, dtype=bool)
-    hit[np.arange(len(w)) // HALF * MARKS + (w & np.uint64(MARKS - 1)).astype(np.int64)] = True
-    return np.packbits(hit, bitorder="little").view("<u8").reshape(halves, -1)
+class Texts:
+    """Words of some texts that have any, one text after the other; their passages are numbered through."""
+
+    def __init__(self, ws: list[np.ndarray]):
+        self.words, self.sizes = np.concatenate(ws), np.array([len(w) for w in ws])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.halves = -(-self.sizes // HALF)
+        #: passages of a text, and the number of its first
+        self.many = np.maximum(1, self.halves - 1)
+        self.first = np.cumsum(self.many) - self.many
+
+    def marks(self) -> np.ndarray:
+        """For each passage p the marks of the halves p - 1 .. p + 2 of its text, together."""
+        room = self.halves + 2  # two empty halves behind each text, one before the first
+        start = np.cumsum(room) - room + 1
+        hit = np.zeros((room.sum() + 1) * MARKS, dtype=bool)
+        at = np.arange(len(self.words)) - np.repeat(self.begins, self.sizes)
+        hit[(np.repeat(start, self.sizes) + at // HALF) * MARKS + (self.words & np.uint64(MARKS - 1)).astype(np.int64)] = True
+        own = np.packbits(hit, bitorder="little").view("<u8").reshape(-1, MARKS // 64)
+        p = np.arange(self.many.sum()) + np.repeat(start - self.first, self.many)
+        return own[p - 1] | own[p] | own[p + 1] | own[p + 2]
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -166,25 +198,36 @@ def row_sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """For each row of `rows`, the sum of the rows of `table` that it names."""
     out = np.empty((len(rows), table.shape[1]), dtype=table.dtype)
     for at in range(0, len(rows), ROWS):
-        part = rows[at : at + ROWS]
-        own, one = out[at : at + ROWS], np.empty((len(part), table.shape[1]), dtype=table.dtype)
-        np.take(table, part[:, 0], axis=0, out=own, mode="clip")
-        for k in range(1, part.shape[1]):
-            own += np.take(table, part[:, k], axis=0, out=one, mode="clip")
+        part = rows[at : at + ROWS].T.astype(np.intp, order="C")
+        own, one = out[at : at + ROWS], np.empty((part.shape[1], table.shape[1]), dtype=table.dtype)
+        np.take(table, part[0], axis=0, out=own, mode="clip")
+        for k in range(1, len(part)):
+            own += np.take(table, part[k], axis=0, out=one, mode="clip")
     return out
 
 
 def run_sums(table: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Sums of the rows `at` of `table` over consecutive runs of `times` rows: RUN rows at once, and their sums again."""
+    """Sums of the rows `at` of `table` over consecutive runs of `times` rows: RUN rows at once, the longest first, and their sums again."""
     while True:
-        table = np.concatenate([table, np.zeros((1, table.shape[1]), dtype=table.dtype)])
         many = -(-times // RUN)
-        rows = np.full(int(many.sum()) * RUN, len(table) - 1)
-        rows[np.arange(len(at)) + np.repeat((np.cumsum(many) - many) * RUN - (np.cumsum(times) - times), times)] = at
-        table = row_sums(table, rows.reshape(-1, RUN))
-        if (many == 1).all():
-            return table
-        at, times = np.arange(len(table)), many
+        last = np.cumsum(many) - 1
+        length = np.full(last[-1] + 1, RUN)
+        length[last] -= many * RUN - times
+        start = np.cumsum(length) - length
+        order = np.argsort((RUN - length).astype(np.uint8), kind="stable")
+        out = np.empty((len(length), table.shape[1]), dtype=table.dtype)
+        for first in range(0, len(order), ROWS):
+            run = order[first : first + ROWS]
+            begin, long = start[run], length[run]
+            own = np.take(table, at[begin], axis=0, mode="clip")
+            one = np.empty_like(own)
+            for k in range(1, int(long[0])):
+                n = int(np.count_nonzero(long > k))
+                own[:n] += np.take(table, at[begin[:n] + k], axis=0, out=one[:n], mode="clip")
+            out[run] = own
+        if len(out) == len(times):
+            return out
+        table, at, times = out, np.arange(len(out)), many
 
 
 def pieces(t: np.ndarray) -> Iterator[np.ndarray]:
@@ -197,34 +240,37 @@ def power(texts: list[np.ndarray], idf: np.ndarray, own: np.ndarray) -> tuple[np
     """Terms that occur in the passages A of some texts, and their rows of A'(AQ), without the factor idf of the row; own: idf times Q, and a row of zeros."""
     sizes, t = np.array([len(x) for x in texts]), np.concatenate(texts).astype(np.int64)
     halves = -(-sizes // HALF)
-    ends = np.cumsum(halves)
-    at = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    half = np.repeat(ends - halves, sizes) + at // HALF
-    rows = np.full((ends[-1], 2 * HALF), TERMS, dtype=np.int32)
-    rows[half, at % HALF] = t
-    goes_on = np.ones(ends[-1], dtype=bool)
-    goes_on[ends - 1] = False
-    pair = np.flatnonzero(goes_on)  # halves whose passage takes in the next one
-    rows[pair, HALF:] = rows[pair + 1, :HALF]
-    held = row_sums(own, rows[:, :HALF])
+    ends = np.cumsum(halves + 1)  # an empty half stands behind each text
+    at = np.arange(len(t)) + np.repeat((ends - halves - 1) * HALF - (np.cumsum(sizes) - sizes), sizes)
+    rows = np.full((ends[-1], HALF), TERMS, dtype=np.int32)
+    rows.ravel()[at] = t
+    # passage p takes in the halves p and p + 1; behind a text's last one is none
+    passage = np.ones(ends[-1], dtype=bool)
+    passage[ends - 1] = False
+    passage[(ends - 2)[halves > 1]] = False
     # length of a passage: a word's k-th time adds 2k - 1 times its idf squared, which makes tf squared together
-    word = np.sort(rows, axis=1)
-    place = np.arange(2 * HALF, dtype=np.int32)
-    first = np.zeros(word.shape, dtype=np.int32)
-    first[:, 1:] = np.where(word[:, 1:] != word[:, :-1], place[1:], 0)
-    times = 2 * (place - np.maximum.accumulate(first, axis=1)) + 1
-    squared = np.einsum("ij,ij->i", np.append(idf * idf, 0.0)[word], times)
-    weight = np.zeros(ends[-1])
-    passage = goes_on.copy()
-    passage[ends[halves == 1] - 1] = True
+    once = np.append(idf * idf, 0.0)
+    squared = np.take(once, rows).sum(axis=1)
+    squared[:-1] += squared[1:].copy()
+    word = np.sort(np.concatenate([rows[:-1], rows[1:]], axis=1), axis=1)
+    same = np.zeros(word.shape, dtype=bool)
+    same[:, 1:] = (word[:, 1:] == word[:, :-1]) & (word[:, 1:] < TERMS)
+    again = np.flatnonzero(same)
+    k = np.arange(len(again))
+    first = np.diff(again, prepend=-1) != 1
+    first[:1] = True
+    k -= np.maximum.accumulate(np.where(first, k, 0))
+    squared[:-1] += np.bincount(again // (2 * HALF), weights=2 * (k + 1) * once[word.ravel()[again]], minlength=len(word))
+    weight = np.zeros(ends[-1], dtype="float32")
     weight[passage] = 1 / squared[passage]
-    held[pair] += held[pair + 1]
-    held *= weight.astype("float32")[:, None]
-    both = held.copy()
-    both[pair + 1] += held[pair]
+    both = row_sums(own, rows)
+    both[:-1] += both[1:]
+    both *= weight[:, None]
+    both[1:] += both[:-1]
     order = np.argsort(t.astype(np.uint16), kind="stable")
-    word, times = np.unique(t[order], return_counts=True)
-    return word, run_sums(both, half[order], times)
+    times = np.bincount(t, minlength=TERMS)
+    word = np.flatnonzero(times)
+    return word, run_sums(both, at[order] // HALF, times[word])
 
 
 def basis(texts: DataFrame, idf: np.ndarray, rounds: int = 2) -> np.ndarray:
@@ -309,97 +355,97 @@ class Index:
         v = self.latent[terms(p)].sum(axis=0)
         return v / (np.linalg.norm(v) or 1.0)
 
-    def promising(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def promising(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(passage, window) pairs whose surroundings hold enough of the window's rare words, repeats counted."""
+        w = texts.words
         at = np.flatnonzero(self.sieve[(w & self.mask).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.keys, w[at]), len(self.keys) - 1)
         own = self.keys[k] == w[at]
         at, k = at[own], k[own]
         if not len(at):
             return at, at
+        # passage p looks at halves p - 1 .. p + 2
+        text = np.searchsorted(texts.begins, at, side="right") - 1
+        half = (at - texts.begins[text]) // HALF
+        p = half[:, None] + np.array([-2, -1, 0, 1])
+        p = np.where((p >= 0) & (p < texts.many[text, None]), p + texts.first[text, None], -1)
         times = self.times[k]
         start = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-        window, half = self.holds[start + np.arange(times.sum())], np.repeat(at, times) // HALF
-        # passage p looks at halves p - 1 .. p + 2
-        last = max(0, len(passage_starts(len(w))) - 1)
-        p = (half[:, None] + np.array([-2, -1, 0, 1])).ravel()
-        j = np.repeat(window, 4)
-        fits = (p >= 0) & (p <= last)
-        key, n = np.unique(p[fits] * len(self.windows) + j[fits], return_counts=True)
+        p, j = np.repeat(p, times, axis=0), self.holds[start + np.arange(times.sum())]
+        key = (p * len(self.windows) + j[:, None])[p >= 0]
+        key.sort()
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        n = np.diff(new, append=len(key))
+        key = key[new]
         key = key[n >= self.need[key % len(self.windows)]]
         return key // len(self.windows), key % len(self.windows)
 
-    def passages(self, ws: list[np.ndarray]) -> list[np.ndarray]:
-        """Latent vectors of the passages of texts with words, of length 1: sums over half passages, two by two."""
-        ends = np.cumsum([-(-len(w) // HALF) for w in ws])
+    def passages(self, texts: Texts) -> np.ndarray:
+        """Latent vectors of the passages, of length 1: sums over half passages, two by two."""
+        ends = np.cumsum(texts.halves)
         rows = np.full(ends[-1] * HALF, TERMS)
-        for w, end in zip(ws, ends):
-            at = (end - -(-len(w) // HALF)) * HALF
-            rows[at : at + len(w)] = terms(w)
-        rows = rows.reshape(-1, HALF)
-        out = np.concatenate([np.take(self.latent, rows[at : at + CHUNK], axis=0, mode="clip").sum(axis=1) for at in range(0, len(rows), CHUNK)])
+        rows[np.arange(len(texts.words)) + np.repeat((ends - texts.halves) * HALF - texts.begins, texts.sizes)] = terms(texts.words)
+        out = row_sums(self.latent, rows.reshape(-1, HALF))
         goes_on = np.ones(len(out), dtype=bool)
         goes_on[ends - 1] = False
         pair = np.flatnonzero(goes_on)
         out[pair] += out[pair + 1]
+        goes_on[(ends - 1)[texts.halves == 1]] = True
+        out = out[goes_on]
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-        return [x[: len(passage_starts(len(w)))] for w, x in zip(ws, np.split(out, ends[:-1]))]
+        return out
 
-    def near(self, lats: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its (passage, window) pairs at LATENT or more, of windows long enough to be told by it."""
+    def near(self, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, window) pairs at LATENT or more, of windows long enough to be told by it."""
         if not len(self.long):
-            return [(self.long, self.long)] * len(lats)
-        lat = np.concatenate(lats)
+            return self.long, self.long
         step = max(1, min(CHUNK * 4, PAIRS // len(self.long)))
         hits = [np.flatnonzero(lat[at : at + step] @ self.far >= LATENT) + at * len(self.long) for at in range(0, len(lat), step)]
         p, j = np.divmod(np.concatenate(hits), len(self.long))
-        first = np.cumsum([0] + [len(x) for x in lats])
-        cuts = np.searchsorted(p, first[1:-1])
-        return [(q - at, k) for q, k, at in zip(np.split(p, cuts), np.split(self.long[j], cuts), first)]
+        return p, self.long[j]
+
+    def candidates(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passages, windows and cosines of the pairs that the last check is for, by passage and window."""
+        lat = self.passages(texts)
+        p, j = (np.concatenate(x) for x in zip(self.near(lat), self.promising(texts)))
+        if len(p):
+            wide = texts.marks()
+            fits = np.bitwise_count(wide[p] & self.marks[j]).sum(axis=1) >= self.least[j]
+            p, j = np.divmod(np.unique(p[fits] * len(self.windows) + j[fits]), len(self.windows))
+        cos = np.einsum("ij,ij->i", lat[p], self.target[j])
+        fits = cos >= COSINE
+        return p[fits], j[fits], cos[fits]
 
     def search_each(self, texts: Iterable[str | None], first: bool = False) -> Iterator[dict]:
         """For each text item_id -> (overlap, cosine, at_word) of its best passage; with `first`, any one item."""
         for group in some(texts):
             ws = words_each(group)
-            held = [w for w in ws if len(w)] if self.windows else []
-            lats = self.passages(held) if held else []
-            found = zip(held, lats, self.near(lats) if held else [])
-            for w in ws:
-                yield self.told(*next(found), first) if held and len(w) else {}
+            out: list[dict] = [{} for _ in ws]
+            held = [k for k, w in enumerate(ws) if len(w)] if self.windows else []
+            if held:
+                laid = Texts([ws[k] for k in held])
+                p, j, cos = self.candidates(laid)
+                text = np.searchsorted(laid.first, p, side="right") - 1
+                for k, at, window, c in zip(text.tolist(), ((p - laid.first[text]) * HALF).tolist(), j.tolist(), cos):
+                    found = out[held[k]]
+                    if not (first and found):
+                        self.tell(found, ws[held[k]], at, window, c)
+            yield from out
 
     def search(self, text: str | None, first: bool = False) -> dict:
         return next(self.search_each([text], first))
 
-    def told(self, w: np.ndarray, lat: np.ndarray, near: tuple[np.ndarray, np.ndarray], first: bool) -> dict:
-        """What a text's candidates come to."""
-        out: dict = {}
-        ps, js = (np.concatenate(x) for x in zip(near, self.promising(w)))
-        if len(ps):
-            own = marks_of_halves(w)
-            own = np.concatenate([np.zeros((1, own.shape[1]), dtype=own.dtype), own, np.zeros((2, own.shape[1]), dtype=own.dtype)])
-            wide = own[:-3] | own[1:-2] | own[2:-1] | own[3:]  # halves p - 1 .. p + 2
-            fits = np.bitwise_count(wide[ps] & self.marks[js]).sum(axis=1) >= self.least[js]
-            ps, js = ps[fits], js[fits]
-        if not len(ps):
-            return out
-        key = np.unique(ps * len(self.windows) + js)
-        ps, js = key // len(self.windows), key % len(self.windows)
-        cos = np.einsum("ij,ij->i", lat[ps], self.target[js])
-        for p, j, c in zip(ps, js, cos):
-            if c < COSINE:
-                continue
-            # the check looks half a passage to each side, so that no item is cut
-            around = w[max(0, p * HALF - HALF) : p * HALF + PASSAGE + HALF].tolist()
-            there = set(around)
-            told = c >= LATENT and len(self.windows[j]) >= HALF
-            if len(self.bags[j] & there) < LCS * len(self.bags[j]) or not (told or len(self.rare[j] & there) * 2 >= len(self.rare[j])):
-                continue
-            share = lcs(self.windows[j], around) / len(self.windows[j])
-            if share >= LCS and share > out.get(self.ids[j], (0,))[0]:
-                out[self.ids[j]] = (share, float(c), int(p * HALF))
-                if first:
-                    return out
-        return out
+    def tell(self, out: dict, w: np.ndarray, at: int, j: int, c: np.floating) -> None:
+        """The last check: puts the window's item into `out` if the passage at word `at` holds it, and better than what is there."""
+        # the check looks half a passage to each side, so that no item is cut
+        around = w[max(0, at - HALF) : at + PASSAGE + HALF].tolist()
+        there = set(around)
+        told = c >= LATENT and len(self.windows[j]) >= HALF
+        if len(self.bags[j] & there) < LCS * len(self.bags[j]) or not (told or len(self.rare[j] & there) * 2 >= len(self.rare[j])):
+            return
+        share = lcs(self.windows[j], around) / len(self.windows[j])
+        if share >= LCS and share > out.get(self.ids[j], (0,))[0]:
+            out[self.ids[j]] = (share, float(c), at)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:

@@ -1,6 +1,7 @@
 """What the latent search adds: paraphrases whose rare words were all replaced."""
 
 import random
+import sys
 
 import numpy as np
 
@@ -89,3 +90,51 @@ def test_the_basis_is_fitted_on_every_passage(spark):
         q = np.linalg.qr(plain_power(texts, idf, q))[0]
     got = index.latent[: decontaminate.TERMS] / idf[:, None]
     assert np.abs(np.abs(np.linalg.svd(got.T @ q)[1]) - 1).max() < 1e-3  # the same space
+
+
+def test_signs_part_words_as_the_pattern_says():
+    """Letters and digits of all scripts stay, all other signs beyond ASCII and lone halves of pairs are blanks."""
+    text = "".join(map(chr, range(0x80, 0x110000, 7))) + "ein—wort “zwei” \ud800ñandú\udfff ²x 中文。字 \U0001f600"
+    assert decontaminate.without_signs(text) == "".join(decontaminate.SIGNS.sub(" ", c) for c in text)
+    assert decontaminate.without_signs("ñandú") == "ñandú"
+    got = decontaminate.words("a—b\ud800c _“ñ”_")
+    assert got.tolist() == decontaminate.words("a b c ñ").tolist() and len(got) == 4
+
+
+def test_many_short_texts_share_their_calls(spark):
+    """The search takes short texts together; one by one, these took 104 calls each."""
+    index = next(decontaminate.indexes(table(spark, "/root/testdata/sf0.001", "documents"), table(spark, SF, "benchmark"))).value
+    rng = random.Random(7)
+    pool = [w for p in index.windows for w in p]
+    of = {int(decontaminate.words(x)[0]): x for r in table(spark, SF, "benchmark").collect() for x in r.text.split() if len(decontaminate.words(x)) == 1}
+    texts = [" ".join(of.get(rng.choice(pool), "x") for _ in range(5)) for _ in range(3000)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    want = [index.search(t) for t in texts]
+    sys.setprofile(count)
+    try:
+        got = list(index.search_each(texts))
+    finally:
+        sys.setprofile(None)
+    assert got == want and calls < 25 * len(texts), calls / len(texts)
+
+
+def test_a_round_of_the_fit_gathers_each_word_twice(monkeypatch):
+    """Rare terms are not padded to whole runs: over half passages and over terms, a row each time a word occurs, and few more."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, decontaminate.TERMS, 2400) for _ in range(10)]
+    idf, own = np.ones(decontaminate.TERMS), decontaminate.with_zeros(rng.standard_normal((decontaminate.TERMS, 3)))
+    taken, take = 0, np.take
+
+    def counted(table, at, *a, **b):
+        nonlocal taken
+        taken += len(at) if table.ndim == 2 else 0
+        return take(table, at, *a, **b)
+
+    monkeypatch.setattr(np, "take", counted)
+    decontaminate.power(texts, idf, own)
+    assert taken < 2.2 * sum(map(len, texts)), taken
