@@ -1,6 +1,7 @@
 """Work and memory that grow no faster than the input: what one task, one frame or one call may hold."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -54,6 +55,34 @@ def test_pools_over_ten_thousand(spark):
     assert V.rarefied_k(df, "pool", "v", 40, 0.5, rounds=2, order="i").first()["mean_k"] == 4
 
 
+def test_rounds_merge_as_often_as_the_means_do():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 40, 300):
+        for copies in (1, 3):
+            u = clustering.unit_rows(np.repeat(rng.normal(size=(n, 6)), copies, axis=0))
+            for t in (0.001, 0.1, 0.4, 0.85, 2.1):
+                assert clustering.merges_by_rounds(u, t) == len(clustering.merge_means(u, t)[0])
+    ring = np.array([[np.cos(x), np.sin(x)] for x in np.arange(8) * np.pi / 4])  # each has two nearest
+    assert clustering.merges_by_rounds(ring, 0.5) is None and clustering.merges_by_rounds(ring, 0.1) == 0
+
+
+def test_rarefied_pools_are_not_copied_by_draw(spark, monkeypatch):
+    """A pool went to every draw of its own, 1,000 copies on disk where it was over a matrix; now to a fixed number of tasks."""
+    rng = np.random.default_rng(6)
+    x = {g: np.concatenate([rng.normal(size=(40, 5)), np.tile(np.eye(5)[:2], (5, 1))]) for g in "ab"}  # copies; ties only at 1
+    df = spark.createDataFrame([(g, i, [float(v) for v in r]) for g in "ab" for i, r in enumerate(x[g])], "pool string, i long, v array<double>")
+    monkeypatch.setattr(clustering, "MATRIX", 10)
+    out = V.rarefied_k(df, "pool", "v", 30, 0.6, rounds=300, order="i")
+    copies = 1 + int(re.search(r"sequence\(0, (\d+)", out._jdf.queryExecution().analyzed().toString())[1])
+    assert copies == 32
+    got = {r.pool: r.mean_k for r in out.collect()}
+    monkeypatch.undo()
+    for g in "ab":
+        d = clustering.distance_matrix(x[g])
+        draws = [V.splice_draw(50, V.mulberry32_draws(20260901, r * 30, 30)) for r in range(300)]
+        assert got[g] == sum(V.cluster_count(d[np.ix_(at, at)], 0.6) for at in draws) / 300
+
+
 def test_a_split_holds_no_reviews(spark):
     """Lists are split by themselves: no task of a group takes its reviews, and the streams are those of the whole group."""
     rng = np.random.default_rng(4)
