@@ -1,5 +1,6 @@
 """Work and memory that grow no faster than the input: what one task, one frame or one call may hold."""
 
+import inspect
 import random
 import re
 import time
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from poolstat.operators import clustering, judging
 from poolstat.operators import vectors as V
 from poolstat.operators import windows as W
@@ -160,3 +162,45 @@ def test_a_put_makes_its_records_once(spark, tmp_path):
     rows = spark.range(60).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("completed").alias("state"), body("id").alias("body"))
     told = Keyed(spark, f"{tmp_path}/store", 4).put(rows).collect()
     assert len(told) == 60 and {r.outcome for r in told} == {"written"} and made.value == 60
+
+
+def test_the_interval_query_does_its_whole_job(spark, monkeypatch):
+    """The registered construction is 2,000 draws of ideas and 200 splits of each; the query once asked for 24 and 4."""
+    asked, own = [], inspect.signature(judging.interval)
+
+    def interval(*args, **named):
+        call = own.bind(*args, **named)
+        call.apply_defaults()
+        asked.append((call.arguments["draws"], call.arguments["splits"]))
+        return spark.createDataFrame([("A", 1, 0.0, 0.0)], "topic string, n long, lower double, upper double")
+
+    monkeypatch.setattr(judging, "interval", interval)
+    entry.queries()["split_half_interval"](spark, "/root/testdata/sf0.001")
+    assert asked == [(2000, 200)]
+
+
+def test_waves_of_draws_and_mixed_lists(spark, monkeypatch):
+    """Lists with and without exact sums, unlike in size, in two groups; draws in waves or all at once give the plain loop's values."""
+    rng = np.random.default_rng(11)
+    lists = {g: [[float(x) / [1, 4, 10, 1 / 1000][i % 4] for x in rng.integers(1, 99, int(rng.integers(2, 9)))] for i in range(n)] for g, n in (("t", 24), ("u", 31))}
+    df = spark.createDataFrame([(g, i, x) for g in lists for i, x in enumerate(lists[g])], "g string, i int, s array<double>")
+    whole = {r.g: (r.n, round(r.lower, 12), round(r.upper, 12)) for r in judging.interval(df, "g", "i", "s", draws=7, splits=3).collect()}
+    monkeypatch.setattr(judging, "WAVE", 400)
+    waves = {r.g: (r.n, round(r.lower, 12), round(r.upper, 12)) for r in judging.interval(df, "g", "i", "s", draws=7, splits=3).collect()}
+    assert waves == whole
+    for g, rows in lists.items():
+        n, values = len(rows), []
+        for d in range(7):
+            own = [rows[int(u * n)] for u in judging.mulberry32_draws(2, d * n, n)]
+            seed, at, total = (2 * 1_000_003 + d + 1) & 0xFFFFFFFF, 0, 0.0
+            for _ in range(3):
+                pair = []
+                for x in own:
+                    mixed = judging._shuffled(x, judging.mulberry32_draws(seed, at, len(x) - 1))
+                    at, h = at + len(x) - 1, len(x) // 2
+                    pair.append((sum(mixed[:h]) / h, sum(mixed[h:]) / (len(x) - h)))
+                total += judging._accuracy(np.array([p[0] for p in pair]), np.array([p[1] for p in pair]), n // 4)
+            values.append(total / 3)
+        assert whole[g] == (n, round(min(values), 12), round(max(values), 12))
+    a, b = rng.integers(0, 9, (2, 20, 40)).astype(float)  # many ties
+    assert np.allclose(judging._accuracies(a, b, 10), [judging._accuracy(x, y, 10) for x, y in zip(a, b)], atol=0)
